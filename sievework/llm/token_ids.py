@@ -1,4 +1,5 @@
-"""Token-ID / binary output: flat files of unsigned ids with 64-bit document offsets.
+"""Token-ID / binary output: flat files of unsigned ids (16 bits where
+the vocabulary fits, else 32) with 64-bit document offsets.
 
 Documents are dealt into ranges of doc_id, and each range is sorted, encoded
 and written as one flat file of ids, one of the documents' ends inside it and
@@ -31,12 +32,18 @@ _PART = "part int, name string, n_docs long, n_ids long"
 _NO_ID = np.iinfo(np.int64).min
 
 
+def _id_type(tokenizer: str) -> str:
+    """Two bytes an id where the whole vocabulary fits, else four."""
+    return "<u2" if encoder(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def _write_part(path: str, tokenizer: str, end_id: int):
     def written(batches):
         from pyspark import TaskContext
 
         where, base = fs.FileSystem.from_uri(path)
         where.create_dir(base, recursive=True)
+        kind = _id_type(tokenizer)
         part, name = TaskContext.get().partitionId(), uuid.uuid4().hex
         n_docs = n_ids = 0
         with where.open_output_stream(f"{base}/{name}.ids") as ids_out, where.open_output_stream(f"{base}/{name}.ends") as ends_out, where.open_output_stream(f"{base}/{name}.docs") as docs_out:
@@ -45,7 +52,7 @@ def _write_part(path: str, tokenizer: str, end_id: int):
                 for lo, hi in text_slices(sizes, 4 << 20):
                     ids, counts = encoder(tokenizer).encode(batch.column("text")[lo:hi])
                     ends = np.cumsum(counts)
-                    ids = np.insert(ids, ends, end_id).astype("<u4")
+                    ids = np.insert(ids, ends, end_id).astype(kind)
                     ends = ends + np.arange(1, len(ends) + 1)
                     ids_out.write(ids.tobytes())
                     ends_out.write((ends + n_ids).astype("<i8").tobytes())
@@ -65,8 +72,9 @@ def _mapped(where: fs.FileSystem, path: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
-def _read_part(path: str):
+def _read_part(path: str, tokenizer: str):
     def rows(batches):
+        kind = _id_type(tokenizer)
         where, base = fs.FileSystem.from_uri(path)
         for batch in batches:
             for row in batch.to_pylist():
@@ -76,12 +84,12 @@ def _read_part(path: str):
                 with where.open_output_stream(made) as out:
                     out.write((np.concatenate([[0], ends]) + row["base"]).astype("<i8").tobytes())
                 where.move(made, f"{stem}.offsets")
-                ids, docs = _mapped(where, f"{stem}.ids", "<u4"), _mapped(where, f"{stem}.docs", "<i8")
+                ids, docs = _mapped(where, f"{stem}.ids", kind), _mapped(where, f"{stem}.docs", "<i8")
                 offsets = _mapped(where, f"{stem}.offsets", "<i8")
                 for lo in range(0, len(docs), 20_000):
                     hi = min(lo + 20_000, len(docs))
                     starts, inside = offsets[lo : hi + 1], offsets[lo : hi + 1] - row["base"]
-                    crc = [zlib.crc32(ids[s:e]) for s, e in zip(inside, inside[1:], strict=False)]
+                    crc = [zlib.crc32(ids[s:e].astype("<u4")) for s, e in zip(inside, inside[1:], strict=False)]
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs[lo:hi], pa.int64(), mask=docs[lo:hi] == _NO_ID), "start": pa.array(starts[:-1], pa.int64()), "n_tokens": pa.array(np.diff(starts), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
     return rows
@@ -98,14 +106,15 @@ def write_token_ids(docs: DataFrame, tokenizer: str, end_id: int, part_bytes: in
     return listed.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), path
 
 
-def read_token_ids(parts: DataFrame, path: str) -> DataFrame:
+def read_token_ids(parts: DataFrame, path: str, tokenizer: str) -> DataFrame:
     """Maps the files and gives each document's doc_id, start, n_tokens and ids_crc32; writes the absolute offsets."""
     n = max(2 * parts.sparkSession.sparkContext.defaultParallelism, 1)
-    return parts.repartition(n, "part").mapInArrow(_read_part(path), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return parts.repartition(n, "part").mapInArrow(_read_part(path, tokenizer), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op6_token_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 
-    parts, path = write_token_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer or public_tokenizers.path("word_bpe_49k.json"), 1)
-    return read_token_ids(parts, path)
+    tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
+    parts, path = write_token_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer, 1)
+    return read_token_ids(parts, path, tokenizer)
