@@ -7,6 +7,7 @@ space that a non-space follows, so a text's ids are its pieces' ids in a row.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from array import array
@@ -29,9 +30,8 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        spec = self.tokenizer.to_str()
         # A word tokenizer drops white space, so that any space or line end parts words.
-        self.drops_space = '"Removed"' in spec
+        self.drops_space = '"Removed"' in json.dumps(json.loads(self.tokenizer.to_str())["pre_tokenizer"])
         self.kept, self.known = kept, {}
 
     def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
