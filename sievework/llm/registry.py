@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
 from .fm_index import op3_substring_dedup
+from .ngram_join import op2_ngram_jaccard
 from .packing import op5_packing
 from .sharding import op1_sharding
 from .suffix_merge import op10_suffix_array_dedup
 from .token_ids import op6_token_ids
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_substring_dedup, op5_packing, op6_token_ids, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_ngram_jaccard, op3_substring_dedup, op5_packing, op6_token_ids, op10_suffix_array_dedup)}
 
 ORACLES: dict[str, str] = {}
