@@ -38,7 +38,7 @@ def _into_blocks(limit: int):
     return blocks
 
 
-def block_table(docs: DataFrame, limit: int = 2 << 20) -> tuple[DataFrame, int]:
+def block_table(docs: DataFrame, limit: int = 1 << 20) -> tuple[DataFrame, int]:
     """Writes the documents as a table of blocks, bucketed by block so that later joins move only the other side; returns it and the bytes of text."""
     spark = docs.sparkSession
     total = text_bytes(docs)

@@ -78,17 +78,25 @@ def sliding(op, values: np.ndarray, w: int) -> np.ndarray:
     return m if n == w else op(m[:total], m[w - n : w - n + total])
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[0] = _ONE
+    return np.cumprod(out, out=out)
+
+
 def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of symbols[s:e] for each span, from prefix sums of a polynomial modulo 2^64."""
     sums = np.zeros(len(symbols) + 1, np.uint64)
-    power = np.full(len(symbols) + 1, _MUL)
-    power[0] = _ONE
-    np.cumprod(power, out=power)
-    np.cumsum(mix(symbols.astype(np.uint64)) * power[:-1], out=sums[1:])
-    inverse = np.full(len(symbols) + 1, np.uint64(pow(int(_MUL), -1, 1 << 64)))
-    inverse[0] = _ONE
-    np.cumprod(inverse, out=inverse)
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    if symbols.dtype == np.uint8:
+        sums[1:] = mix(np.arange(256, dtype=np.uint64))[symbols]
+    else:
+        sums[1:] = mix(symbols.astype(np.uint64))
+    sums[1:] *= _powers(int(_MUL), len(symbols) + 1)[:-1]
+    np.cumsum(sums, out=sums)
+    out = sums[ends] - sums[starts]
+    del sums
+    out *= _powers(pow(int(_MUL), -1, 1 << 64), len(symbols) + 1)[starts]
+    return mix(out + (ends - starts).astype(np.uint64))
 
 
 def gather_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

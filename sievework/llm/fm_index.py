@@ -166,7 +166,7 @@ def _kept_words(view, gone: np.ndarray) -> pa.RecordBatch:
 
 def remove_repeated_words(docs: DataFrame, width: int = 50, **options) -> DataFrame:
     """Each document's doc_id, n_words, n_removed and kept words (UTF-8, joined by a space)."""
-    return repeated_windows(docs, Words, match_by_index, _kept_words, "doc_id long, n_words long, n_removed long, kept binary", width, **{"k": max(1, width // 4), "symbol_bytes": 6, "bucket_bytes": 16 << 20, **options})
+    return repeated_windows(docs, Words, match_by_index, _kept_words, "doc_id long, n_words long, n_removed long, kept binary", width, **{"k": max(1, width // 4), "symbol_bytes": 6, "bucket_bytes": 4 << 20, **options})
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
