@@ -43,20 +43,24 @@ class WaveletMatrix:
             self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])[:-1])
             self.zeros.append(int(len(bit) - bit.sum()))
             values = np.concatenate([values[bit == 0], values[bit == 1]])
+        every = np.arange(top + 1)
+        #: Where each symbol's walk through the levels begins.
+        self.begin = self._walk(every, np.zeros_like(every))
 
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
         word, low = at >> 6, (at & 63).astype(np.uint64)
         return self.counts[level][word] + np.bitwise_count(self.bits[level][word] & ((np.uint64(1) << low) - np.uint64(1)))
 
-    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """How often each symbol is among the first `at` ones."""
-        begin = np.zeros_like(at)
+    def _walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for level in range(self.levels):
             bit = ((symbol >> (self.levels - 1 - level)) & 1).astype(bool)
-            a, b = self._ones(level, begin), self._ones(level, at)
-            begin = np.where(bit, self.zeros[level] + a, begin - a)
-            at = np.where(bit, self.zeros[level] + b, at - b)
-        return at - begin
+            ones = self._ones(level, at)
+            at = np.where(bit, self.zeros[level] + ones, at - ones)
+        return at
+
+    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How often each symbol is among the first `at` ones."""
+        return self._walk(symbol, at) - self.begin[symbol]
 
 
 class FMIndex:
@@ -93,6 +97,12 @@ class FMIndex:
             step = 1 << (len(self.minima) - 1)
             self.minima.append(np.minimum(last[:-step], last[step:]))
 
+    def _extend(self, symbol: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of the symbol before those of begin to end - 1: a step of backward search."""
+        both = np.concatenate([symbol, symbol])
+        out = self.smaller[both] + self.transform.rank(both, np.concatenate([begin, end]))
+        return out[: len(symbol)], out[len(symbol) :]
+
     def _parent(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The smallest larger interval of rows with a common prefix, and that prefix's length."""
         depth = np.maximum(self.prefix[begin], self.prefix[end])
@@ -118,15 +128,13 @@ class FMIndex:
             live = order[: np.searchsorted(-lengths[order], -step, side="left")]
             symbol = symbols[ends[live] - 1 - step]
             b, e, n = begin[live], end[live], length[live]
-            lo = self.smaller[symbol] + self.transform.rank(symbol, b)
-            hi = self.smaller[symbol] + self.transform.rank(symbol, e)
+            lo, hi = self._extend(symbol, b, e)
             open_ = np.flatnonzero((lo >= hi) & (n > 0))
             n = np.where(lo < hi, n + 1, 0)
             while len(open_):  # shorten the match until it can be extended
                 b[open_], e[open_], depth = self._parent(b[open_], e[open_])
                 some = symbol[open_]
-                lo[open_] = self.smaller[some] + self.transform.rank(some, b[open_])
-                hi[open_] = self.smaller[some] + self.transform.rank(some, e[open_])
+                lo[open_], hi[open_] = self._extend(some, b[open_], e[open_])
                 n[open_] = np.where(lo[open_] < hi[open_], depth + 1, 0)
                 open_ = open_[(lo[open_] >= hi[open_]) & (depth > 0)]
             none = lo >= hi

@@ -36,6 +36,10 @@ from .blocks import BLOCK, Block, block_table
 from .common import gather_ranges, mix, pack_planes, pack_sorted, sliding, span_hashes, squeeze, unpack_planes, unpack_sorted, unsqueeze, window_hashes
 
 
+#: Windows of a run; what repeats itself over and over is cut into runs of this length.
+LONGEST = 128
+
+
 class Bytes:
     """Symbols are the bytes of a text."""
 
@@ -86,7 +90,7 @@ class Words:
 
 
 class Runs:
-    """Maximal runs of windows with one fingerprint: run r has the windows that start at starts[r] to ends[r] - 1."""
+    """Runs of windows with one fingerprint, of LONGEST windows at most: run r has the windows that start at starts[r] to ends[r] - 1."""
 
     def __init__(self, view, k: int, width: int):
         symbols, offsets = view.symbols, view.offsets
@@ -97,12 +101,16 @@ class Runs:
         if len(lows):
             first[0] = True
             first[1:] = (lows[1:] != lows[:-1]) | (doc[1:] != doc[:-1])
-        self.starts = np.flatnonzero(first & whole)
+        starts = np.flatnonzero(first & whole)
         last = np.empty(len(lows), bool)
         if len(lows):
             last[-1] = True
             last[:-1] = first[1:] | ~whole[1:]
-        self.ends = np.flatnonzero(last & whole) + 1
+        size = np.flatnonzero(last & whole) + 1 - starts
+        parts = -(-size // LONGEST)
+        step = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * LONGEST
+        self.starts = np.repeat(starts, parts) + step
+        self.ends = self.starts + np.minimum(np.repeat(size, parts) - step, LONGEST)
         self.prints, self.docs = lows[self.starts], doc[self.starts]
         self.width = width
 
