@@ -30,8 +30,11 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
         # A word tokenizer drops white space, so that any space or line end parts words.
-        self.drops_space = '"Removed"' in json.dumps(json.loads(self.tokenizer.to_str())["pre_tokenizer"])
+        self.drops_space = '"Removed"' in json.dumps(spec["pre_tokenizer"])
+        # A special token between words lets many be encoded as one text, which it parts before anything else.
+        self.parting = next(((t["content"], t["id"]) for t in spec["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["normalized"])), None)
         self.kept, self.known = kept, {}
 
     def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -56,6 +59,26 @@ class TextEncoder:
                 chunks.append(parts.flatten())
         return pa.concat_arrays([c.cast(pa.large_string()) for c in chunks]), counts
 
+    def _learn(self, words: list[str]) -> None:
+        known = self.known
+        if not self.parting:
+            for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+                known[w] = array("I", e.ids).tobytes()
+            return
+        token, number = self.parting
+        for w in (w for w in words if token[:2] in w):
+            known[w] = array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
+        words = [w for w in words if w not in known]
+        joined = [words[lo : lo + 256] for lo in range(0, len(words), 256)]
+        for lo in range(0, len(joined), 16):
+            some = joined[lo : lo + 16]
+            for group, e in zip(some, self.tokenizer.encode_batch_fast([token.join(g) for g in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.uint32)
+                cuts = np.flatnonzero(ids == number)
+                raw = ids.tobytes()
+                for w, a, b in zip(group, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
+                    known[w] = raw[a:b]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row as uint32, and each text's number of ids. Null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -69,10 +92,7 @@ class TextEncoder:
         if len(known) + len(new) > self.kept:
             known.clear()
             new = words
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
+        self._learn(new)
         blobs = [known[w] for w in words]
         if len(known) > self.kept:
             known.clear()
