@@ -40,6 +40,7 @@ from .tokenizing import text_slices
 FREQUENT = 2e-6
 #: Shingles that a task counts at a time, and the count from which it reports one.
 COUNTED, REPORTED = 4_000_000, 4
+_NO_ID = np.iinfo(np.int64).max
 
 
 class Sets:
@@ -78,23 +79,23 @@ def _sets_of(batches, width: int, *columns: str):
             yield Sets(batch.column("text")[lo:hi], width), *(batch.column(c)[lo:hi] for c in columns)
 
 
-def _members(width: int):
-    def rows(batches):
-        for sets, ids in _sets_of(batches, width, "doc_id"):
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n": pa.array(sets.size, pa.int64()), "cls": pa.array(sets.classes)})
-
-    return rows
+def _survey(width: int):
+    """Each row's set size and class, and the shingles that are frequent among the COUNTED at hand, with their counts."""
 
+    def batch(doc_id=None, n=None, cls=None, shingle=None, often=None) -> pa.RecordBatch:
+        rows = len(doc_id if doc_id is not None else shingle)
+        fill = lambda x: pa.nulls(rows, pa.int64()) if x is None else pa.array(x, pa.int64())
+        return pa.RecordBatch.from_arrays([fill(x) for x in (doc_id, n, cls, shingle, often)], names=["doc_id", "n", "cls", "shingle", "often"])
 
-def _count(width: int):
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         shingle, n = np.unique(np.concatenate(held), return_counts=True)
-        often = n >= REPORTED
-        return pa.RecordBatch.from_pydict({"shingle": pa.array(shingle[often].view(np.int64)), "n": pa.array(n[often], pa.int64())})
+        keep = n >= REPORTED
+        return batch(shingle=shingle[keep].view(np.int64), often=n[keep])
 
     def rows(batches):
         held, n = [], 0
-        for (sets,) in _sets_of(batches, width):
+        for sets, ids in _sets_of(batches, width, "doc_id"):
+            yield batch(doc_id=ids, n=sets.size, cls=sets.classes)
             held.append(sets.hashes)
             n += len(sets.hashes)
             if n >= COUNTED:
@@ -154,21 +155,23 @@ def _prefixes(width: int, share: tuple[int, int], most: int, ranges: int, often)
 
 
 def _shared(key: tuple, rows: pa.Table) -> pa.Table:
-    """The postings of shingles that several classes sent."""
+    """The postings of shingles that several classes sent, each with the shingle's leading class."""
     lists = rows.to_pydict()
     parts = [(unpack_sorted(s), unpack_planes(w, np.int64), np.frombuffer(c, np.int64), unpack_planes(n, np.int64), unpack_planes(m, np.int64)) for s, w, c, n, m in zip(*(lists[x] for x in ("shingles", "who", "classes", "sizes", "matches")), strict=True)]
     shingle = np.concatenate([p[0] for p in parts])
     cls, size, matches = (np.concatenate([p[i][p[1]] for p in parts]) for i in (2, 3, 4))
-    order = np.lexsort((cls, shingle))
+    cls_of, order = cls, np.lexsort((cls, shingle))
     shingle, cls = shingle[order], cls[order]
     new = np.ones(len(order), bool)
     new[1:] = (shingle[1:] != shingle[:-1]) | (cls[1:] != cls[:-1])
     shingle, cls, order = shingle[new], cls[new], order[new]
+    order_of = order
     first = np.concatenate([[True], shingle[1:] != shingle[:-1]])
     group = np.cumsum(first) - 1
     several = np.bincount(group)[group] > 1
     order = order[several]
-    return pa.table({"shingle": pa.array(shingle[several].view(np.int64)), "cls": pa.array(cls[several]), "n": pa.array(size[order]), "m": pa.array(matches[order])})
+    lead = order_of[np.flatnonzero(first)][group[several]]
+    return pa.table({"shingle": pa.array(shingle[several].view(np.int64)), "cls": pa.array(cls[several]), "n": pa.array(size[order]), "m": pa.array(matches[order]), "lead": pa.array(cls_of[lead]), "lead_n": pa.array(size[lead])})
 
 
 def _packed_sets(width: int):
@@ -196,36 +199,44 @@ def _verify(share: tuple[int, int]):
     return rows
 
 
+def _small(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """Asks for a broadcast of a written table of a few numbers a row while it has at most `limit` rows; else joins shuffle."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def _links(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    side = lambda s: sets.select(F.col("cls").alias(s), F.col("members").alias(f"{s}_members"))
-    return pairs.select("x", "y").join(side("y"), "y").join(side("x"), "x").mapInArrow(_verify(share), "x long, y long")
+    pairs = _small(materialize(pairs.select("x", "y"), "pairs"))
+    left = sets.withColumnRenamed("members", "y_members").join(pairs, F.col("cls") == F.col("y")).select("x", "y", "y_members")
+    right = sets.withColumnRenamed("members", "x_members").join(pairs.select("x").distinct(), F.col("cls") == F.col("x"), "left_semi").select(F.col("cls").alias("x"), "x_members")
+    return left.join(right, "x").mapInArrow(_verify(share), "x long, y long")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100), most: int = 4) -> DataFrame:
     """Every row's doc_id, n_shingles and component_id: the smallest doc_id that links of Jaccard similarity share[0] / share[1] or more reach."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    members = materialize(docs.mapInArrow(_members(width), "doc_id long, n long, cls long"), "members")
+    survey = materialize(docs.mapInArrow(_survey(width), "doc_id long, n long, cls long, shingle long, often long"), "survey")
+    members = survey.where("cls is not null").select("doc_id", "n", "cls")
     total = members.agg(F.sum("n")).head()[0] or 0
-    found = docs.select("text").mapInArrow(_count(width), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, FREQUENT * total)).toArrow()
+    found = survey.where("shingle is not null").groupBy("shingle").agg(F.sum("often").alias("n")).where(F.col("n") >= max(2, FREQUENT * total)).toArrow()
     frequent = found["shingle"].to_numpy().view(np.uint64)
     order = np.argsort(frequent)
     often = spark.sparkContext.broadcast((frequent[order], found["n"].to_numpy()[order]))
     ranges = max(1, math.ceil(total / 4_000_000))
     sent = docs.select("text").mapInArrow(_prefixes(width, share, most, ranges, often), "part long, shingles binary, who binary, classes binary, sizes binary, matches binary")
-    postings = materialize(sent.groupBy("part").applyInArrow(_shared, "shingle long, cls long, n long, m long"), "postings")
+    postings = materialize(sent.groupBy("part").applyInArrow(_shared, "shingle long, cls long, n long, m long, lead long, lead_n long"), "postings")
 
-    wanted = members.where("n > 0").groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max))).alias("doc_id")).join(postings.select("cls").distinct(), "cls", "left_semi")
-    sets = materialize(docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(_packed_sets(width), "cls long, members binary").groupBy("cls").agg(F.first("members").alias("members")), "sets")
+    wanted = members.where("n > 0").groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("first")).join(postings.select("cls").distinct(), "cls", "left_semi")
+    wanted = _small(materialize(wanted.select("first").distinct(), "wanted"))
+    sets = materialize(docs.join(wanted, F.coalesce("doc_id", F.lit(_NO_ID)) == wanted["first"], "left_semi").select("text").mapInArrow(_packed_sets(width), "cls long, members binary"), "sets")
 
     fits = share[1] * F.least("xn", "yn") >= share[0] * F.greatest("xn", "yn")
-    lead = postings.groupBy("shingle").agg(F.min(F.struct("cls", "n")).alias("lead"))
     stars = (
-        postings.join(lead, "shingle").where("cls <> lead.cls").select(F.col("lead.cls").alias("x"), F.col("lead.n").alias("xn"), F.col("cls").alias("y"), F.col("n").alias("yn")).where(fits)
+        postings.where("cls <> lead").select(F.col("lead").alias("x"), F.col("lead_n").alias("xn"), F.col("cls").alias("y"), F.col("n").alias("yn")).where(fits)
         .groupBy("x", "y").count().groupBy("y").agg(F.max_by("x", F.struct("count", "x")).alias("x"))
     )
     near = materialize(_links(stars, sets, share), "links")
-    label = components(near)
+    label = _small(components(near))
 
     placed = materialize(postings.join(label, postings.cls == label.node, "left").select("shingle", "cls", "n", "m", F.coalesce("label", "cls").alias("comp")), "placed")
     mixed = placed.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shingle")
@@ -238,7 +249,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: tuple[int, int] =
         .where(F.col("shared") >= F.least("xm", "ym"))
         .where((F.col("shared") + F.greatest(beyond("x"), beyond("y"))) * (share[0] + share[1]) >= share[0] * (F.col("xn") + F.col("yn")))
     )
-    far = materialize(_links(materialize(pairs, "pairs"), sets, share), "links")
+    far = materialize(_links(pairs, sets, share), "links")
     label = components(near.unionByName(far)) if not far.isEmpty() else label
 
     comp = members.where("n > 0").join(label, members.cls == label.node, "left").select("doc_id", "n", F.coalesce("label", "cls").alias("comp"))
