@@ -73,15 +73,13 @@ class FMIndex:
         self.transform = WaveletMatrix(text.symbols[text.ahead(-1)][order], top)
         self.smaller = np.concatenate([[0], np.cumsum(np.bincount(text.symbols, minlength=top + 1))])
         # Common prefixes of neighbouring rows, up to the width.
-        prefix, alive, rows = np.zeros(len(order) + 1, np.int64), np.arange(1, len(order)), order.copy()
+        prefix, alive, rows = np.zeros(len(order) + 1, np.int16), np.arange(1, len(order)), order.copy()
+        following = text.ahead(1)
         for d in range(width):
             step = text.symbols[rows]
             alive = alive[step[alive] == step[alive - 1]]
             prefix[alive] = d + 1
-            rows = text.ahead(1)[rows] if d == 0 else self._next[rows]
-            if d == 0:
-                self._next = text.ahead(1)
-        del self._next
+            rows = following[rows]
         prefix[0] = prefix[-1] = -1
         self.prefix = prefix
         whole = (order - text.begins[text.owner[order]]) < (lengths - width + 1)[text.owner[order]]
@@ -105,7 +103,7 @@ class FMIndex:
 
     def _parent(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The smallest larger interval of rows with a common prefix, and that prefix's length."""
-        depth = np.maximum(self.prefix[begin], self.prefix[end])
+        depth = np.maximum(self.prefix[begin], self.prefix[end]).astype(np.int64)
         for level in reversed(range(len(self.minima))):
             step, low = 1 << level, self.minima[level]
             back = begin - step + 1
@@ -174,7 +172,7 @@ def _kept_words(view, gone: np.ndarray) -> pa.RecordBatch:
 
 def remove_repeated_words(docs: DataFrame, width: int = 50, **options) -> DataFrame:
     """Each document's doc_id, n_words, n_removed and kept words (UTF-8, joined by a space)."""
-    return repeated_windows(docs, Words, match_by_index, _kept_words, "doc_id long, n_words long, n_removed long, kept binary", width, **{"k": max(1, width // 4), "symbol_bytes": 6, "bucket_bytes": 4 << 20, **options})
+    return repeated_windows(docs, Words, match_by_index, _kept_words, "doc_id long, n_words long, n_removed long, kept binary", width, **{"k": max(1, width // 4), "symbol_bytes": 6, "bucket_bytes": 3 << 19, **options})
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -296,7 +296,7 @@ def covered(view, found: list[dict], width: int) -> np.ndarray:
     return np.cumsum(depth[:-1]) > 0
 
 
-def repeated_windows(docs: DataFrame, view_class, matcher: Matcher, finish, schema: str, width: int = 50, k: int = 24, many: int = 50_000, bucket_bytes: int = 3 << 19, symbol_bytes: int = 1) -> DataFrame:
+def repeated_windows(docs: DataFrame, view_class, matcher: Matcher, finish, schema: str, width: int = 50, k: int = 24, many: int = 50_000, bucket_bytes: int = 1 << 20, symbol_bytes: int = 1) -> DataFrame:
     """Runs the steps above; `finish` maps (view, mask of removed symbols) of each block to a record batch of `schema`."""
     blocks, total = block_table(docs)
     buckets = max(1, math.ceil(total / bucket_bytes))
