@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import gather_ranges, span_hashes
+
 #: White space of Unicode, which the tokenizers' \s means.
 _SPACE = r"\s\v\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _CUT = re.compile(r"(?= (?=\S))")
@@ -23,9 +25,14 @@ _MARK = "\x1f"
 
 
 class TextEncoder:
-    """Encodes arrays of texts with the tokenizer in a file; at most `kept` words stay in memory between batches."""
+    """Encodes arrays of texts with the tokenizer in a file.
+
+    Between batches, at most about `kept` words stay in memory: their ids in one
+    array, found by a 64-bit hash of the word with its length, ends and sum
+    beside it. Beyond that, the longest unused half goes.
+    """
 
-    def __init__(self, path: str, kept: int = 400_000):
+    def __init__(self, path: str, kept: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -35,7 +42,10 @@ class TextEncoder:
         self.drops_space = '"Removed"' in json.dumps(spec["pre_tokenizer"])
         # A special token between words lets many be encoded as one text, which it parts before anything else.
         self.parting = next(((t["content"], t["id"]) for t in spec["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["normalized"])), None)
-        self.kept, self.known = kept, {}
+        self.kept, self.batch = kept, 0
+        self.ids = np.empty(0, np.uint32)
+        #: Of each known word, in order of the hash: hash, check, place in ids, number of ids, last batch that had it.
+        self.table = [np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64)]
 
     def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """All texts' pieces in a row, and each text's number of pieces."""
@@ -59,25 +69,57 @@ class TextEncoder:
                 chunks.append(parts.flatten())
         return pa.concat_arrays([c.cast(pa.large_string()) for c in chunks]), counts
 
-    def _learn(self, words: list[str]) -> None:
-        known = self.known
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        one = lambda w: array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
         if not self.parting:
-            for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
-            return
+            return [one(w) for w in words]
         token, number = self.parting
-        for w in (w for w in words if token[:2] in w):
-            known[w] = array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
-        words = [w for w in words if w not in known]
-        joined = [words[lo : lo + 256] for lo in range(0, len(words), 256)]
+        out = [one(w) if token[:2] in w else b"" for w in words]
+        plain = [i for i, w in enumerate(words) if token[:2] not in w]
+        joined = [plain[lo : lo + 256] for lo in range(0, len(plain), 256)]
         for lo in range(0, len(joined), 16):
             some = joined[lo : lo + 16]
-            for group, e in zip(some, self.tokenizer.encode_batch_fast([token.join(g) for g in some], add_special_tokens=False), strict=True):
+            for group, e in zip(some, self.tokenizer.encode_batch_fast([token.join([words[i] for i in g]) for g in some], add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, np.uint32)
                 cuts = np.flatnonzero(ids == number)
                 raw = ids.tobytes()
-                for w, a, b in zip(group, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
-                    known[w] = raw[a:b]
+                for i, a, b in zip(group, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
+                    out[i] = raw[a:b]
+        return out
+
+    def _forget(self) -> None:
+        """Keeps the words used last, half of what may stay."""
+        last = self.table[4]
+        keep = np.sort(np.argsort(-last, kind="stable")[: self.kept // 2])
+        hashes, checks, starts, sizes, last = (c[keep] for c in self.table)
+        self.ids = self.ids[gather_ranges(starts, sizes)]
+        self.table = [hashes, checks, np.cumsum(sizes) - sizes, sizes, last]
+
+    def _look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where in `ids` each word's ids are, and how many; learns what is new."""
+        offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        lo, hi = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+        hashes = span_hashes(data, lo, hi)
+        sums = np.concatenate([[0], np.cumsum(data, dtype=np.int64)])
+        padded = np.append(data, 0).astype(np.int64)
+        checks = (((hi - lo) << 40) + ((sums[hi] - sums[lo]) << 16) + (padded[lo] << 8) + padded[np.maximum(hi - 1, 0)]).astype(np.uint64)
+        at = np.minimum(np.searchsorted(self.table[0], hashes), max(len(self.table[0]) - 1, 0))
+        hit = (self.table[0][at] == hashes) & (self.table[1][at] == checks) if len(self.table[0]) else np.zeros(len(hashes), bool)
+        starts, sizes = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
+        starts[hit], sizes[hit] = self.table[2][at[hit]], self.table[3][at[hit]]
+        self.batch += 1
+        self.table[4][at[hit]] = self.batch
+        new = np.flatnonzero(~hit)
+        if len(new):
+            blobs = self._encode_words(words.take(pa.array(new)).to_pylist())
+            sizes[new] = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+            starts[new] = len(self.ids) + np.cumsum(sizes[new]) - sizes[new]
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(blobs), np.uint32)])
+            columns = [np.concatenate([old, more]) for old, more in zip(self.table, (hashes[new], checks[new], starts[new], sizes[new], np.full(len(new), self.batch)), strict=True)]
+            order = np.argsort(columns[0], kind="stable")
+            self.table = [c[order] for c in columns]
+        return starts, sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row as uint32, and each text's number of ids. Null counts as empty."""
@@ -86,24 +128,14 @@ class TextEncoder:
             return np.empty(0, np.uint32), np.empty(0, np.int64)
         pieces, counts = self._pieces(texts)
         coded = pieces.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        known = self.known
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > self.kept:
-            known.clear()
-            new = words
-        self._learn(new)
-        blobs = [known[w] for w in words]
-        if len(known) > self.kept:
-            known.clear()
-        flat = np.frombuffer(b"".join(blobs), np.uint32)
-        lens = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-        starts = np.cumsum(lens) - lens
+        if len(self.table[0]) > self.kept:
+            self._forget()
+        starts, lens = self._look_up(coded.dictionary.cast(pa.large_string()))
         index = coded.indices.to_numpy(zero_copy_only=False)
         each = lens[index]
         ends = np.cumsum(each)
         total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.arange(total) + np.repeat(starts[index] - (ends - each), each)]
+        ids = self.ids[np.arange(total) + np.repeat(starts[index] - (ends - each), each)]
         upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         return ids, np.diff(upto)
 
