@@ -55,10 +55,9 @@ def parse(line: str | None) -> dict:
     return out
 
 
-@F.pandas_udf(SCHEMA)
 def _parsed(lines: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse(x) for x in lines], columns=["qty", "qty_max", "unit", "name", "prep", "optional"])
 
 
 def parse_line(line: Column) -> Column:
-    return _parsed(line)
+    return F.pandas_udf(_parsed, SCHEMA)(line)

@@ -277,3 +277,32 @@ def backfill_missing_counted(spark: SparkSession, folder: str) -> DataFrame:
     orders = Tables(spark, folder).read("orders").select("o_orderkey")
     later = orders.where("o_orderkey % 3 <> 0").withColumn("feature", F.lit(1))
     return orders.join(later, "o_orderkey", "left").groupBy(F.coalesce("feature", F.lit(0)).cast("long").alias("moved")).agg(F.count("*").alias("n"))
+
+
+@query("select event_type, count(*) as n, count(distinct event_id) as ids, min(event_id) as first from events group by 1")
+def incremental_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """The events taken in as a stream of files, then counted: none lost, none twice."""
+    from ..streaming.ingest import ingest, working_dir
+
+    base = working_dir(spark)
+    schema = Tables(spark, folder).read("events").schema
+    ingest(spark, folder, schema, f"{base}/rows", f"{base}/checkpoint", "events.parquet")
+    return spark.read.schema(schema).parquet(f"{base}/rows/batch=*").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"), F.min("event_id").alias("first"))
+
+
+@query("select date_trunc('hour', ts)::varchar as start, event_type, count(*) as n from events group by 1, 2")
+def tumbling_window_counts(spark: SparkSession, folder: str) -> DataFrame:
+    from ..streaming.ingest import windowed_counts
+
+    return windowed_counts(Tables(spark, folder).read("events")).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
+
+@query("select l_orderkey as id, l_linenumber as line, l_quantity + 0.5::double as qty, 'cup' as unit, p_name as name, 'chopped' as prep from lineitem join part on p_partkey = l_partkey where l_orderkey % 20 = 3")
+def amount_line_parser(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines such as `3 1/2 cups red widget (cold), chopped`, written from the tables and read by the parser."""
+    from ..functions.lines import parse_line
+
+    t = Tables(spark, folder)
+    rows = t.read("lineitem").where("l_orderkey % 20 = 3").join(t.read("part"), F.col("p_partkey") == F.col("l_partkey"))
+    line = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" ½ cups "), F.col("p_name"), F.lit(" (cold), chopped"))
+    return rows.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), parse_line(line).alias("p")).select("id", "line", "p.qty", "p.unit", "p.name", "p.prep")
