@@ -42,7 +42,7 @@ def html_to_text(html: Column) -> Column:
     x = F.regexp_replace(F.regexp_replace(x, r"<br */?>|</div>|</p>", "\n"), r"<[^>]*>", "")
     for entity, plain in ENTITIES:
         x = F.replace(x, F.lit(entity), F.lit(plain))
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r" ?\n ?", "\n"))
+    return F.btrim(F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r" ?\n ?", "\n"), F.lit(" \n"))
 
 
 def host(url: Column) -> Column:

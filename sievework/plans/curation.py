@@ -85,7 +85,7 @@ _TEXT = r"""regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--
 _TEXT = rf"regexp_replace(regexp_replace(regexp_replace({_TEXT}, '[\r\n]+', ' ', 'g'), '<br */?>|</div>|</p>', chr(10), 'g'), '<[^>]*>', '', 'g')"
 for _entity, _plain in X.ENTITIES:
     _TEXT = f"replace({_TEXT}, '{_entity}', '{_plain.replace(chr(39), chr(39) * 2)}')"
-_TEXT = rf"trim(regexp_replace(regexp_replace({_TEXT}, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'))"
+_TEXT = rf"trim(regexp_replace(regexp_replace({_TEXT}, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), ' ' || chr(10))"
 
 
 @query(f"select page_id, length(t) as n_chars, md5(t) as text_md5 from (select page_id, {_TEXT} as t from pages)")
