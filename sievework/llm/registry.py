@@ -1,5 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
+from . import sql
 from .decontamination import op9_decontamination
 from .fm_index import op3_substring_dedup
 from .language_id import op7_language_id
@@ -13,4 +14,4 @@ from .token_ids import op6_token_ids
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_ngram_jaccard, op3_substring_dedup, op4_line_dedup, op5_packing, op6_token_ids, op7_language_id, op8_nearest, op9_decontamination, op10_suffix_array_dedup)}
 
-ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL}
+ORACLES: dict[str, str] = {"op2_ngram_jaccard": sql.OP2, "op3_substring_dedup": sql.OP3, "op4_line_dedup": OP4_SQL, "op10_suffix_array_dedup": sql.OP10}
