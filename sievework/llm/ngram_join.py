@@ -10,10 +10,11 @@ so a class whose short prefix would meet many candidates sends a longer one
 the smaller m of the two shared, with fitting sizes, and if what lies beyond the
 prefixes can still make up the missing overlap.
 
-Pairs are verified in two steps, so that a group of near copies does not become
-all its pairs: each class first meets the one that leads most of its prefix
-shingles; what these links join is one component from then on, and only pairs
-of different components follow, all of them.
+Pairs are verified in steps, so that a group of near copies does not become all
+its pairs: each class first meets the one that leads most of its prefix
+shingles, in a few rounds with other leaders where many pairs are still open;
+what these links join is one component from then on, and only pairs of
+different components follow, all of them.
 
 Null or empty text has an empty set and is linked with nothing. Equal texts are
 one class. Rows with equal doc_ids are kept; a null doc_id is a component of
@@ -40,6 +41,8 @@ from .tokenizing import text_slices
 FREQUENT = 2e-6
 #: Shingles that a task counts at a time, and the count from which it reports one.
 COUNTED, REPORTED = 4_000_000, 4
+#: Rounds of stars at most before all remaining pairs.
+MOST_STARS = 8
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -75,7 +78,7 @@ class Sets:
 def _sets_of(batches, width: int, *columns: str):
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-        for lo, hi in text_slices(sizes, 4 << 20):
+        for lo, hi in text_slices(sizes, 2 << 20):
             yield Sets(batch.column("text")[lo:hi], width), *(batch.column(c)[lo:hi] for c in columns)
 
 
@@ -231,16 +234,31 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: tuple[int, int] =
     sets = materialize(docs.join(wanted, F.coalesce("doc_id", F.lit(_NO_ID)) == wanted["first"], "left_semi").select("text").mapInArrow(_packed_sets(width), "cls long, members binary"), "sets")
 
     fits = share[1] * F.least("xn", "yn") >= share[0] * F.greatest("xn", "yn")
-    stars = (
-        postings.where("cls <> lead").select(F.col("lead").alias("x"), F.col("lead_n").alias("xn"), F.col("cls").alias("y"), F.col("n").alias("yn")).where(fits)
-        .groupBy("x", "y").count().groupBy("y").agg(F.max_by("x", F.struct("count", "x")).alias("x"))
-    )
-    near = materialize(_links(stars, sets, share), "links")
+
+    def best(stars: DataFrame) -> DataFrame:
+        """Each class with the leader that it shares most prefix shingles with."""
+        return stars.where(fits).groupBy("x", "y").count().groupBy("y").agg(F.max_by("x", F.struct("count", "x")).alias("x"))
+
+    as_pair = lambda lead, n: (F.col(lead).alias("x"), F.col(n).alias("xn"), F.col("cls").alias("y"), F.col("n").alias("yn"))
+    near = materialize(_links(best(postings.where("cls <> lead").select(*as_pair("lead", "lead_n"))), sets, share), "links")
     label = _small(components(near))
+    for turn in range(MOST_STARS):
+        placed = postings.join(label, postings.cls == label.node, "left").select("shingle", "cls", "n", "m", F.coalesce("label", "cls").alias("comp"))
+        held = placed.groupBy("shingle", "comp").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+        mixed = held.where("k * k > kk")
+        open_ = materialize(placed.join(mixed, "shingle").select("shingle", "cls", "n", "m", "comp", (F.col("k") * F.col("k") - F.col("kk")).alias("cross"), F.col("k").alias("rows")), "open")
+        # While the classes of different components make more pairs than there are postings, other leaders try first.
+        n, cross = open_.agg(F.count("*"), F.sum(F.col("cross") / F.col("rows") / 2)).head()
+        if (cross or 0) <= n:
+            break
+        lead = open_.groupBy("shingle").agg(F.min_by(F.struct("cls", "n", "comp"), F.xxhash64("cls", F.lit(turn))).alias("lead"))
+        stars = open_.join(lead, "shingle").where("comp <> lead.comp")
+        more = materialize(_links(best(stars.select(*as_pair("lead.cls", "lead.n"))), sets, share), "links")
+        if more.isEmpty():
+            break
+        near = near.unionByName(more)
+        label = _small(components(near))
 
-    placed = materialize(postings.join(label, postings.cls == label.node, "left").select("shingle", "cls", "n", "m", F.coalesce("label", "cls").alias("comp")), "placed")
-    mixed = placed.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shingle")
-    open_ = placed.join(mixed, "shingle", "left_semi")
     side = lambda s: open_.select("shingle", *(F.col(c).alias(f"{s}{c}") for c in ("cls", "n", "m", "comp")))
     beyond = lambda s: F.ceil(F.lit(share[0]) * F.col(f"{s}n") / share[1]) - F.col(f"{s}m")  # noqa: E731  of a set outside its prefix
     pairs = (
