@@ -110,8 +110,11 @@ def held_out() -> F.Column:
 def fit(docs: DataFrame, sample: int = 1000, penalty: float = 8.0) -> Model | None:
     """Counts on the executors; the driver gets two tables of fixed size a language."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    # Hashes thin the rows to about twice the sample before they are ranked.
+    sizes = F.broadcast(labelled.groupBy("lang").agg(F.count("*").alias("size")))
+    few = labelled.select("doc_id", "lang").join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) * F.col("size").cast("double") <= F.lit(2.0 * sample * (1 << 40)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = labelled.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("doc_id", "lang")
+    picked = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("doc_id", "lang")
     texts = labelled.select("doc_id", "text").join(picked, "doc_id").select("lang", "text")
     found = sorted(texts.groupBy("lang").applyInArrow(_count, "lang string, counts binary, scripts array<double>").collect(), key=lambda r: r["lang"])
     if not found:
