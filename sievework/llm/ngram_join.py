@@ -40,7 +40,7 @@ from .tokenizing import text_slices
 #: Shares of all shingles from which a shingle's count is kept; bounds the broadcast to 1 / FREQUENT entries.
 FREQUENT = 2e-6
 #: Shingles that a task counts at a time, and the count from which it reports one.
-COUNTED, REPORTED = 4_000_000, 4
+COUNTED, REPORTED = 2_000_000, 3
 #: Rounds of stars at most before all remaining pairs.
 MOST_STARS = 8
 _NO_ID = np.iinfo(np.int64).max
