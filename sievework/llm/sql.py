@@ -43,10 +43,10 @@ select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_re
 OP10 = """
 with texts as (
   select doc_id, hex(encode(coalesce(text, ''))) as x from documents
-), places as (
-  select doc_id, unnest(range(1, len(x) // 2 + 1)) as i, x from texts
+), pieces as (
+  select doc_id, n, c, substr(x, 2 * c + 1, 2098) as y from (select doc_id, x, len(x) // 2 as n, unnest(range(0, len(x) // 2, 1000)) as c from texts)
 ), windows as (
-  select doc_id, i, substr(x, 2 * i - 1, 2) as b, case when 2 * (i + 49) <= len(x) then md5(substr(x, 2 * i - 1, 100)) end as h from places
+  select doc_id, c + i as i, substr(y, 2 * i - 1, 2) as b, case when c + i + 49 <= n then md5(substr(y, 2 * i - 1, 100)) end as h from (select *, unnest(range(1, least(1000, n - c) + 1)) as i from pieces)
 ), firsts as (
   select h, min(doc_id) as first from windows where h is not null group by h
 ), marked as (
