@@ -156,3 +156,25 @@ def test_a_second_run_takes_in_only_new_files(spark, tmp_path):
     spark.range(5, 8).coalesce(1).write.mode("append").parquet(src)
     ingest(spark, src, schema, out, log)
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(8))
+
+
+def test_amounts_added_and_alternatives():
+    assert abs(parse("1 cup plus 2 tbsp milk")["qty"] - (1 + 2 * 14.7868 / 236.588)) < 1e-9 and parse("1 cup plus 2 tbsp milk")["name"] == "milk"
+    assert parse("1 cup plus 2 g milk")["qty"] == 1.0
+    assert parse("2 red or green apples, cored") == {"qty": 2.0, "qty_max": None, "unit": None, "name": "red apples", "prep": "cored", "optional": False}
+    assert parse("butter or oil")["name"] == "butter"
+
+
+def test_imported_content(spark):
+    from sievework.functions.imports import flatten_steps, from_text, imported, parse_content
+
+    sections = [{"@type": "HowToSection", "name": "Base", "itemListElement": [{"@type": "HowToStep", "text": "Mix."}, "Rest."]}, "Bake."]
+    assert flatten_steps(sections) == ["Base", "Mix.", "Rest.", "Bake."] and flatten_steps(sections, False) == ["Mix.", "Rest.", "Bake."]
+    ld = "<p>x</p><script type='application/ld+json'>" + json.dumps([{"@type": ["Recipe"], "name": "Pie", "recipeIngredient": ["1 egg"], "recipeInstructions": "Mix.\nBake."}]) + "</script>"
+    assert parse_content(ld) == {"title": "Pie", "ingredients": ["1 egg"], "steps": ["Mix.", "Bake."], "origin": "json-ld"}
+    micro = '<div itemscope itemtype="http://schema.org/Recipe"><h1 itemprop="name">Pie</h1><div itemprop="author" itemscope itemtype="Person"><b itemprop="name">Ann</b></div><li itemprop="recipeIngredient">1 <i>egg</i></li></div>'
+    assert parse_content(micro) == {"title": "Pie", "ingredients": ["1 egg"], "steps": [], "origin": "microdata"}
+    assert from_text("Pie\nIngredients:\n1 egg\nMethod\nMix.")["steps"] == ["Mix."]
+    assert from_text("Pie\n2 eggs\n1 cup flour\nMix all of it well.")["ingredients"] == ["2 eggs", "1 cup flour"]
+    rows = spark.createDataFrame([(ld,), (None,), ("",), ("<p>none</p>",)], "c string").select(imported(F.col("c")).alias("r")).collect()
+    assert [r.r.origin for r in rows] == ["json-ld", None, None, None]
