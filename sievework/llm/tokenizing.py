@@ -32,7 +32,7 @@ class TextEncoder:
     beside it. Beyond that, the longest unused half goes.
     """
 
-    def __init__(self, path: str, kept: int = 1_200_000):
+    def __init__(self, path: str, kept: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
