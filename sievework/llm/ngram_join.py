@@ -225,7 +225,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: tuple[int, int] =
     frequent = found["shingle"].to_numpy().view(np.uint64)
     order = np.argsort(frequent)
     often = spark.sparkContext.broadcast((frequent[order], found["n"].to_numpy()[order]))
-    ranges = max(1, math.ceil(total / 4_000_000))
+    ranges = max(1, math.ceil(total / 2_000_000))
     sent = docs.select("text").mapInArrow(_prefixes(width, share, most, ranges, often), "part long, shingles binary, who binary, classes binary, sizes binary, matches binary")
     postings = materialize(sent.groupBy("part").applyInArrow(_shared, "shingle long, cls long, n long, m long, lead long, lead_n long"), "postings")
 
