@@ -242,22 +242,30 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: tuple[int, int] =
     as_pair = lambda lead, n: (F.col(lead).alias("x"), F.col(n).alias("xn"), F.col("cls").alias("y"), F.col("n").alias("yn"))
     near = materialize(_links(best(postings.where("cls <> lead").select(*as_pair("lead", "lead_n"))), sets, share), "links")
     label = _small(components(near))
-    for turn in range(MOST_STARS):
+
+    def opened(label: DataFrame) -> DataFrame:
+        """The postings of shingles that stand in several components, and how many pairs each has across them."""
         placed = postings.join(label, postings.cls == label.node, "left").select("shingle", "cls", "n", "m", F.coalesce("label", "cls").alias("comp"))
         held = placed.groupBy("shingle", "comp").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        mixed = held.where("k * k > kk")
-        open_ = materialize(placed.join(mixed, "shingle").select("shingle", "cls", "n", "m", "comp", (F.col("k") * F.col("k") - F.col("kk")).alias("cross"), F.col("k").alias("rows")), "open")
-        # While the classes of different components make more pairs than there are postings, other leaders try first.
-        n, cross = open_.agg(F.count("*"), F.sum(F.col("cross") / F.col("rows") / 2)).head()
+        mixed = held.where("k * k > kk").select("shingle", ((F.col("k") * F.col("k") - F.col("kk")) / F.col("k") / 2).alias("cross"))
+        return materialize(placed.join(mixed, "shingle"), "open")
+
+    open_ = opened(label)
+    for turn in range(MOST_STARS):
+        # While there are more pairs of different components than postings, other leaders try first.
+        n, cross = open_.agg(F.count("*"), F.sum("cross")).head()
         if (cross or 0) <= n:
             break
         lead = open_.groupBy("shingle").agg(F.min_by(F.struct("cls", "n", "comp"), F.xxhash64("cls", F.lit(turn))).alias("lead"))
         stars = open_.join(lead, "shingle").where("comp <> lead.comp")
-        more = materialize(_links(best(stars.select(*as_pair("lead.cls", "lead.n"))), sets, share), "links")
-        if more.isEmpty():
-            break
+        tried = materialize(best(stars.select(*as_pair("lead.cls", "lead.n"))), "stars")
+        more = materialize(_links(tried, sets, share), "links")
         near = near.unionByName(more)
         label = _small(components(near))
+        open_ = opened(label)
+        # Leaders help where they link many; where few of the tried pairs are links, what is open is no such group.
+        if 10 * more.count() < tried.count():
+            break
 
     side = lambda s: open_.select("shingle", *(F.col(c).alias(f"{s}{c}") for c in ("cls", "n", "m", "comp")))
     beyond = lambda s: F.ceil(F.lit(share[0]) * F.col(f"{s}n") / share[1]) - F.col(f"{s}m")  # noqa: E731  of a set outside its prefix
