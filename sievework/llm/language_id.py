@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import give_back
 from .tokenizing import text_slices
 
 # First code points of Unicode's larger alphabets; each goes on to the next entry's start.
@@ -223,6 +224,7 @@ def _predict(model):
                 some = batch.slice(lo, hi - lo)
                 langs, score, spans = _label(some.column("text"), model.value)
                 yield pa.RecordBatch.from_arrays([some.column("row"), some.column("held_out"), pa.array(langs, pa.string()), pa.array(score), spans], names=["row", "held_out", "lang_pred", "score", "spans"])
+            give_back()
 
     return rows
 

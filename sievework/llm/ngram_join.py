@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gather_ranges, materialize, mix, pack_planes, pack_sorted, span_hashes, text_bytes, unpack_planes, unpack_sorted
+from .common import gather_ranges, give_back, materialize, mix, pack_planes, pack_sorted, span_hashes, text_bytes, unpack_planes, unpack_sorted
 from .components import components
 from .repeats import word_spans
 from .tokenizing import text_slices
@@ -78,8 +78,9 @@ class Sets:
 def _sets_of(batches, width: int, *columns: str):
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-        for lo, hi in text_slices(sizes, 2 << 20):
+        for lo, hi in text_slices(sizes, 1 << 20):
             yield Sets(batch.column("text")[lo:hi], width), *(batch.column(c)[lo:hi] for c in columns)
+        give_back()
 
 
 def _survey(width: int):

@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import give_back
 from .tokenizing import encoder, text_slices
 
 _PIECES = "doc_id long, start long, length int, doc_tokens long, spread long, ids binary"
@@ -52,6 +53,7 @@ def _cut(tokenizer: str, end_id: int, length: int):
                     ],
                     names=["doc_id", "start", "length", "doc_tokens", "spread", "ids"],
                 )
+            give_back()
 
     return pieces
 
