@@ -10,9 +10,11 @@ extend one another both ways to the whole repeated run, and its lines are
 deleted. The first place of a run always stays.
 
 Lines are what a line feed parts, compared exactly. Null text stays null and
-has no lines; texts of fewer lines than a window stay as they are. Rows of one
-doc_id count as one document, so repeated rows do not delete each other; a
-null doc_id stands last. An empty table gives no rows. Other columns stay,
+has no lines; texts of fewer lines than a window stay as they are. Rows with
+the same doc_id and text count as one document, so repeated rows do not delete
+each other; rows of one doc_id with different texts are documents of their own,
+in the order of their texts' hashes, and so are rows without a doc_id, which
+stand last. An empty table gives no rows. Other columns stay,
 whatever their names; where the text changes, an integer n_chars follows it.
 """
 
@@ -26,20 +28,25 @@ from pyspark.sql import functions as F
 _LAST = (1 << 63) - 1
 
 
+def _own() -> list:
+    """A row's place in the order of documents and its own key: rows that agree in both have the same text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("own")]
+
+
 def repeated_places(docs: DataFrame, lines: int = 3) -> DataFrame:
-    """(doc_id, places): the windows' first lines, from 0, that repeat an earlier place."""
-    hashed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("h"))
+    """(doc, own, places): the windows' first lines, from 0, that repeat an earlier place."""
+    hashed = docs.select(*_own(), F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("h"))
 
     def window(i):
         head, tail = F.xxhash64(F.slice("h", i, lines - 1)), F.xxhash64(F.slice("h", i + 1, lines - 1))
         before = tail < head
         return F.struct((i - 1).alias("at"), F.least(head, tail).alias("print"), before.alias("before"), F.when(before, F.get("h", i - 1)).otherwise(F.get("h", i + lines - 2)).alias("beyond"))
 
-    windows = hashed.where(F.size("h") >= lines).select("doc", F.explode(F.transform(F.sequence(F.lit(1), F.size("h") - lines + 1), window)).alias("w")).select("doc", "w.*")
+    windows = hashed.where(F.size("h") >= lines).select("doc", "own", F.explode(F.transform(F.sequence(F.lit(1), F.size("h") - lines + 1), window)).alias("w")).select("doc", "own", "w.*")
     key = ["print", "before", "beyond"]
-    first = windows.groupBy(*key).agg(F.min(F.struct("doc", "at")).alias("first"), F.max(F.struct("doc", "at")).alias("last")).where("first <> last").drop("last")
-    later = windows.join(first, key).where(F.struct("doc", "at") > F.col("first"))
-    return later.groupBy("doc").agg(F.collect_set("at").alias("places"))
+    first = windows.groupBy(*key).agg(F.min(F.struct("doc", "own", "at")).alias("first"), F.max(F.struct("doc", "own", "at")).alias("last")).where("first <> last").drop("last")
+    later = windows.join(first, key).where(F.struct("doc", "own", "at") > F.col("first"))
+    return later.groupBy("doc", "own").agg(F.collect_set("at").alias("places"))
 
 
 def _without(lines: int):
@@ -61,8 +68,8 @@ def _without(lines: int):
 def _marked(docs: DataFrame, lines: int) -> DataFrame:
     """The rows with their struct in `row`, the text without repeats, and the numbers of lines before and after."""
     found = repeated_places(docs, lines)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"))
-    joined = rows.join(found, "doc", "left")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_own())
+    joined = rows.join(found, ["doc", "own"], "left")
     clean = F.pandas_udf(_without(lines), "string")
     gone = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + lines - 1)))))
     return joined.select(
