@@ -20,6 +20,8 @@ from sievework.llm.packing import pack_documents
 
 #: The least share of a text's letters that its main language must have.
 MAIN_SHARE = 0.4
+#: The least words of a repeated run of one or two lines that is deleted.
+RUN_WORDS = 50
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +32,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes runs of three lines or more that stood before; texts of which nothing is left go."""
-    return remove_repeated_lines(docs)
+    """Deletes runs of lines that stood before: three lines or more, RUN_WORDS words or more, or a whole short text; texts of which nothing is left go."""
+    return remove_repeated_lines(docs, words=RUN_WORDS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,10 @@ earlier in the document), the later window is a repeat. Overlapping windows
 extend one another both ways to the whole repeated run, and its lines are
 deleted. The first place of a run always stays.
 
+With `words`, shorter runs count as well: one line or up to `lines` - 1 lines
+of together so many words, and a whole text of fewer than `lines` lines that
+has a word and equals another whole text.
+
 Lines are what a line feed parts, compared exactly. Null text stays null and
 has no lines; texts of fewer lines than a window stay as they are. Rows with
 the same doc_id and text count as one document, so repeated rows do not delete
@@ -33,22 +37,42 @@ def _own() -> list:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("own")]
 
 
-def repeated_places(docs: DataFrame, lines: int = 3) -> DataFrame:
-    """(doc, own, places): the windows' first lines, from 0, that repeat an earlier place."""
-    hashed = docs.select(*_own(), F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("h"))
+def repeated_places(docs: DataFrame, lines: int = 3, words: int | None = None) -> DataFrame:
+    """(doc, own, places): the windows that repeat an earlier place, each as its first line, from 0, times lines + 1, plus its number of lines."""
+    split = F.split("text", "\n")
+    hashed = docs.select(*_own(), F.transform(split, lambda x: F.xxhash64(x)).alias("h"), *([F.transform(split, _n_words).alias("w")] if words else []))
+    place = lambda i, n: ((i - 1) * (lines + 1) + n).alias("at")
 
     def window(i):
         head, tail = F.xxhash64(F.slice("h", i, lines - 1)), F.xxhash64(F.slice("h", i + 1, lines - 1))
         before = tail < head
-        return F.struct((i - 1).alias("at"), F.least(head, tail).alias("print"), before.alias("before"), F.when(before, F.get("h", i - 1)).otherwise(F.get("h", i + lines - 2)).alias("beyond"))
-
-    windows = hashed.where(F.size("h") >= lines).select("doc", "own", F.explode(F.transform(F.sequence(F.lit(1), F.size("h") - lines + 1), window)).alias("w")).select("doc", "own", "w.*")
+        return F.struct(place(i, lines), F.least(head, tail).alias("print"), before.alias("before"), F.when(before, F.get("h", i - 1)).otherwise(F.get("h", i + lines - 2)).alias("beyond"))
+
+    def starts(n, held=None):
+        found = F.filter(F.sequence(F.lit(1), F.size("h")), lambda i: i <= F.size("h") - n + 1)
+        return found if held is None else F.filter(found, held)
+
+    def short(n, whole):
+        """Windows of n < lines lines: of enough words, or a whole text; `beyond` tells the kinds apart."""
+        many = lambda i: F.aggregate(F.slice("w", i, n), F.lit(0), lambda a, x: a + x)
+        held = (lambda i: (F.size("h") == n) & (many(i) > 0)) if whole else (lambda i: many(i) >= words)
+        return F.transform(starts(n, held), lambda i: F.struct(place(i, F.lit(n)), F.xxhash64(F.slice("h", i, n)).alias("print"), F.lit(False).alias("before"), F.lit(-n if whole else n).cast("long").alias("beyond")))
+
+    if words:
+        found = F.concat(F.transform(starts(lines), window), *(short(n, whole) for n in range(1, lines) for whole in (False, True)))
+        windows = hashed.where(F.size("h") >= 1).select("doc", "own", F.explode(found).alias("w")).select("doc", "own", "w.*")
+    else:
+        windows = hashed.where(F.size("h") >= lines).select("doc", "own", F.explode(F.transform(F.sequence(F.lit(1), F.size("h") - lines + 1), window)).alias("w")).select("doc", "own", "w.*")
     key = ["print", "before", "beyond"]
     first = windows.groupBy(*key).agg(F.min(F.struct("doc", "own", "at")).alias("first"), F.max(F.struct("doc", "own", "at")).alias("last")).where("first <> last").drop("last")
     later = windows.join(first, key).where(F.struct("doc", "own", "at") > F.col("first"))
     return later.groupBy("doc", "own").agg(F.collect_set("at").alias("places"))
 
 
+def _n_words(line):
+    return F.size(F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+
+
 def _without(lines: int):
     def kept(text: pd.Series, places: pd.Series) -> pd.Series:
         out = []
@@ -56,8 +80,9 @@ def _without(lines: int):
             if p is not None and t is not None:
                 rows = t.split("\n")
                 gone = np.zeros(len(rows), bool)
+                first, n = np.divmod(np.asarray(p), lines + 1)
                 for d in range(lines):
-                    gone[np.asarray(p) + d] = True
+                    gone[first[n > d] + d] = True
                 t = "\n".join(r for r, g in zip(rows, gone, strict=True) if not g)
             out.append(t)
         return pd.Series(out, dtype=object)
@@ -65,22 +90,24 @@ def _without(lines: int):
     return kept
 
 
-def _marked(docs: DataFrame, lines: int) -> DataFrame:
+def _marked(docs: DataFrame, lines: int, words: int | None = None) -> DataFrame:
     """The rows with their struct in `row`, the text without repeats, and the numbers of lines before and after."""
-    found = repeated_places(docs, lines)
+    found = repeated_places(docs, lines, words)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_own())
     joined = rows.join(found, ["doc", "own"], "left")
     clean = F.pandas_udf(_without(lines), "string")
-    gone = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + lines - 1)))))
+    first = lambda p: F.floor(p / (lines + 1)).cast("int")
+    lines_of = lambda p: F.sequence(first(p), first(p) + p % (lines + 1) - 1)
+    gone = F.size(F.array_distinct(F.flatten(F.transform("places", lines_of))))
     return joined.select(
         "row", F.when(F.col("places").isNull(), F.col("row.text")).otherwise(clean("row.text", "places")).alias("kept"),
         F.coalesce(F.size(F.split("row.text", "\n")).cast("long"), F.lit(0)).alias("n_lines"), F.coalesce(gone.cast("long"), F.lit(0)).alias("n_removed"),
     )
 
 
-def remove_repeated_lines(docs: DataFrame, lines: int = 3) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, lines: int = 3, words: int | None = None) -> DataFrame:
     """The documents without repeated runs of lines; those of which nothing stays are gone."""
-    rows = _marked(docs, lines).where("n_removed = 0 or n_removed < n_lines")
+    rows = _marked(docs, lines, words).where("n_removed = 0 or n_removed < n_lines")
     fixed = {"text": F.col("kept")}
     if dict(docs.dtypes).get("n_chars") in ("int", "bigint"):
         fixed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("row.n_chars"))

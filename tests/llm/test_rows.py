@@ -12,3 +12,15 @@ def test_line_dedup_rows_that_share_an_id(spark):
     rows = [(1, passage), (2, "a\nb\nc\nd\n" + passage), (2, "e"), (3, "x\ny\nz"), (3, "k\nl\n" + passage), (None, passage + "\nm\nn"), (None, "f\ng\nh\ni\n" + passage), (None, "s\nt"), (None, None)]
     got = Counter(tuple(r) for r in line_dedup.remove_repeated_lines(spark.createDataFrame(rows, DOCS)).collect())
     assert got == Counter([(1, passage), (2, "a\nb\nc\nd"), (2, "e"), (3, "x\ny\nz"), (3, "k\nl"), (None, "m\nn"), (None, "f\ng\nh\ni"), (None, "s\nt"), (None, None)])
+
+
+def test_line_dedup_counts_words_of_short_runs(spark):
+    """With words, brute force: a run of lines counts if it has three lines or enough words, or is a whole short text."""
+    long, half = " ".join(f"w{i}" for i in range(50)), " ".join(f"v{i}" for i in range(25))
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n{long}"), (3, f"{half}\n{half}\nd"), (4, f"e\n{half}\n{half}\nf"), (5, f"g\n{half}\nh"), (6, "short"), (7, "short"), (8, "x\nshort"), (9, ""), (10, ""), (11, long), (12, "i\nj\nk"), (13, "l\ni\nj\nk"), (14, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r.text for r in line_dedup.remove_repeated_lines(docs, words=50).collect()}
+    assert got == {i: t for i, t in (dict(rows) | {2: "c", 4: "e\nf", 13: "l"}).items() if i not in (7, 11)}
+    marked = {r["row"].doc_id: (r.n_lines, r.n_removed) for r in line_dedup._marked(docs, 3, 50).collect()}
+    assert marked[4] == (4, 2) and marked[7] == (1, 1) and marked[11] == (1, 1) and marked[13] == (4, 3)
+    assert {r.doc_id: r.text for r in line_dedup.remove_repeated_lines(docs).collect()} == dict(rows) | {13: "l"}
