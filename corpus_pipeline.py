@@ -37,9 +37,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component of documents that share 0.8 of their five-word shingles."""
-    kept = jaccard_components(docs, 5, (80, 100)).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept), "left_semi")
+    """Keeps one row of each component of documents that share 0.8 of their five-word shingles: that of the smallest doc_id, null last.
+
+    Copies of one text under one doc_id stay together; of equal texts without a doc_id one stays. Texts without words all stay.
+    """
+    rows = jaccard_components(docs, 5, (80, 100), keyed=True)
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "own")
+    first = rows.where("comp is not null").groupBy("comp").agg(F.min(place).alias("first")).select("first.doc_id", "first.own", F.lit(True).alias("linked"))
+    kept = first.unionByName(rows.where("comp is null").select("doc_id", "own", F.lit(False).alias("linked")).distinct())
+    kept = kept.select(F.col("doc_id").alias("kept"), "own", "linked")
+    same = docs.doc_id.eqNullSafe(kept.kept) & (F.xxhash64(docs.text) == kept.own)
+    if docs.where("doc_id is null").isEmpty():
+        return docs.join(kept, same, "left_semi")
+    named = docs.join(kept.where("kept is not null or not linked"), same, "left_semi")
+    unnamed = docs.join(kept.where("kept is null and linked"), same, "left_semi")
+    return named.unionByName(unnamed.dropDuplicates(["text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,13 +83,15 @@ def _sets_of(batches, width: int, *columns: str):
         give_back()
 
 
-def _survey(width: int):
+def _survey(width: int, keyed: bool = False):
     """Each row's set size and class, and the shingles that are frequent among the COUNTED at hand, with their counts."""
 
-    def batch(doc_id=None, n=None, cls=None, shingle=None, often=None) -> pa.RecordBatch:
+    ids = ("doc_id", "own") if keyed else ("doc_id",)
+
+    def batch(doc_id=None, own=None, n=None, cls=None, shingle=None, often=None) -> pa.RecordBatch:
         rows = len(doc_id if doc_id is not None else shingle)
         fill = lambda x: pa.nulls(rows, pa.int64()) if x is None else pa.array(x, pa.int64())
-        return pa.RecordBatch.from_arrays([fill(x) for x in (doc_id, n, cls, shingle, often)], names=["doc_id", "n", "cls", "shingle", "often"])
+        return pa.RecordBatch.from_arrays([fill(x) for x in ((doc_id, own) if keyed else (doc_id,))] + [fill(x) for x in (n, cls, shingle, often)], names=[*ids, "n", "cls", "shingle", "often"])
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         shingle, n = np.unique(np.concatenate(held), return_counts=True)
@@ -98,8 +100,8 @@ def _survey(width: int):
 
     def rows(batches):
         held, n = [], 0
-        for sets, ids in _sets_of(batches, width, "doc_id"):
-            yield batch(doc_id=ids, n=sets.size, cls=sets.classes)
+        for sets, *of in _sets_of(batches, width, *ids):
+            yield batch(**dict(zip(ids, of, strict=True)), n=sets.size, cls=sets.classes)
             held.append(sets.hashes)
             n += len(sets.hashes)
             if n >= COUNTED:
@@ -215,12 +217,16 @@ def _links(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFra
     return left.join(right, "x").mapInArrow(_verify(share), "x long, y long")
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100), most: int = 4) -> DataFrame:
-    """Every row's doc_id, n_shingles and component_id: the smallest doc_id that links of Jaccard similarity share[0] / share[1] or more reach."""
+def jaccard_components(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100), most: int = 4, keyed: bool = False) -> DataFrame:
+    """Every row's doc_id, n_shingles and component_id: the smallest doc_id that links of Jaccard similarity share[0] / share[1] or more reach.
+
+    With keyed, each row's doc_id, own, n_shingles and comp instead: own is a hash of its text, comp names its component, null for an empty set.
+    """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    survey = materialize(docs.mapInArrow(_survey(width), "doc_id long, n long, cls long, shingle long, often long"), "survey")
-    members = survey.where("cls is not null").select("doc_id", "n", "cls")
+    ids = ("doc_id", "own") if keyed else ("doc_id",)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.xxhash64("text").alias("own")] if keyed else []))
+    survey = materialize(docs.mapInArrow(_survey(width, keyed), ", ".join(f"{c} long" for c in ids) + ", n long, cls long, shingle long, often long"), "survey")
+    members = survey.where("cls is not null").select(*ids, "n", "cls")
     total = members.agg(F.sum("n")).head()[0] or 0
     found = survey.where("shingle is not null").groupBy("shingle").agg(F.sum("often").alias("n")).where(F.col("n") >= max(2, FREQUENT * total)).toArrow()
     frequent = found["shingle"].to_numpy().view(np.uint64)
@@ -279,7 +285,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: tuple[int, int] =
     far = materialize(_links(pairs, sets, share), "links")
     label = components(near.unionByName(far)) if not far.isEmpty() else label
 
-    comp = members.where("n > 0").join(label, members.cls == label.node, "left").select("doc_id", "n", F.coalesce("label", "cls").alias("comp"))
+    comp = members.where("n > 0").join(label, members.cls == label.node, "left").select(*ids, "n", F.coalesce("label", "cls").alias("comp"))
+    if keyed:
+        return comp.unionByName(members.where("n = 0").select(*ids, "n", F.lit(None).cast("long").alias("comp"))).withColumnRenamed("n", "n_shingles")
     least = comp.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     linked = comp.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import corpus_pipeline
 from sievework.llm import decontamination, line_dedup
 
 DOCS = "doc_id long, text string"
@@ -49,3 +50,13 @@ def test_decontamination_rows_without_ids(spark):
     docs = spark.createDataFrame(rows, DOCS)
     assert Counter(r.doc_id for r in decontamination.leaks(docs, bench).collect()) == Counter([None, None, 3, 4])
     assert Counter(tuple(r) for r in decontamination.without_leaks(docs, bench).collect()) == Counter([rows[2], rows[3], rows[4]])
+
+
+def test_near_duplicates_rows_without_ids(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("a")), (None, text("a") + " new"), (None, text("b")), (5, text("b")), (None, text("c")), (None, ""), (None, None), (7, text("d")), (8, text("e")), (8, text("d")), (9, text("f")), (9, text("f"))]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "")
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    a = [t for i, t in got if t and t.startswith("a0")]
+    assert len(a) == 1 and got[None, a[0]] == 1
+    assert got - Counter({(None, a[0]): 1}) == Counter([(5, text("b")), (None, text("c")), (None, ""), (None, None), (7, text("d")), (8, text("e")), (9, text("f")), (9, text("f"))])
