@@ -34,6 +34,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 # Private-use characters that stand for a name, a number, a unit, and before a slot's value.
 NAME, NUMBER, UNIT, VALUE = "\ue000", "\ue001", "\ue002", "\ue003"
 # Units that may follow a number.
@@ -113,7 +115,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, least: int, enoug
     sizes = own_sizes(items)
     own = own_windows(items, sizes or [window]).where(2 * literal(F.col("iat") + 1, F.col("size")) >= F.col("size")).select("item", "variant", "item_words", "size", "iat", "hash")
     texts = docs.select("doc_id", "row", hashes(words(template(F.col("text")))).alias("h"))
-    runs = _covered(texts, own, sizes or [window], broadcast).where(F.size("places") >= F.least("item_words", F.lit(enough)))
+    runs = materialize(_covered(texts, own, sizes or [window], broadcast).where(F.size("places") >= F.least("item_words", F.lit(enough))), "runs")  # both kinds of items read it
     # Slots: only items that have any need the documents' values.
     valued = items.where(F.exists("words", _placeholder)).select("item", "variant", F.col("slots").alias("item_slots"))
     said = ("doc_id", "row", "item", "item_words")
