@@ -140,9 +140,11 @@ def _components(rows, width, num, den):
     return Counter((i, len(sets[k]), least[find(k)]) for k, (i, _) in enumerate(rows))
 
 
+@pytest.mark.parametrize("crowd", [32, 1])
 @pytest.mark.parametrize(("width", "share"), [(3, (90, 100)), (5, (80, 100)), (2, (50, 100))])
-def test_ngram_join(spark, width, share):
-    for seed in (1, 2):
+def test_ngram_join(spark, width, share, crowd, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+    for seed in (1, 2) if crowd > 1 else (3, 4):
         rows = _corpus(seed, words=8, letters="ab")
         got = ngram_join.jaccard_components(_frame(spark, rows), width, share)
         assert Counter(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == _components(rows, width, *share)
@@ -158,6 +160,21 @@ def test_a_chain_of_near_copies_is_one_component(spark):
     assert Counter(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == _components(rows, 3, 80, 100)
 
 
+@pytest.mark.parametrize("share", [(90, 100), (80, 100)])
+def test_a_family_of_near_copies_beside_the_threshold(spark, share):
+    """Copies of one text with a few words changed: some are near the text, some near one another only, most near nothing."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 150):
+        w = rows[rng.randrange(len(rows))][1].split() if rng.random() < 0.3 else list(base)
+        for _ in range(rng.randint(1, 6)):
+            w[rng.randrange(len(w))] = rng.choice(["new", f"own{i}"])
+        rows.append((i, " ".join(w)))
+    got = ngram_join.jaccard_components(_frame(spark, rows), 3, share)
+    assert Counter(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == _components(rows, 3, *share)
+
+
 def test_sharding(spark, corpus, docs):
     out, _ = sharding.shard_documents(docs, 8, bucket_bytes=600)
     rows = out.collect()
