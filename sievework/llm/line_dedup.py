@@ -1,13 +1,14 @@
 """Line dedup by winnowing over line hashes.
 
-A window is `lines` consecutive lines of one document. Of its two parts that
-leave out one end line, the one with the smaller hash is its fingerprint, so
-equal windows always choose the same one. A fingerprint's positions are joined
-on the fingerprint, extended by the missing line on the side where it stands;
-where the extended match also stands at an earlier place (smaller doc_id, or
-earlier in the document), the later window is a repeat. Overlapping windows
-extend one another both ways to the whole repeated run, and its lines are
-deleted. The first place of a run always stays.
+A window is `lines` consecutive lines of one document. The smallest line hash
+of a window, the last of equal ones, is selected as its fingerprint; equal
+windows select the same line, and neighbouring windows mostly share theirs, so
+about two lines of `lines` + 1 are fingerprints. Positions are joined on their
+fingerprints, and those that have a partner are extended line by line both ways
+to the windows that selected them. Where such a window also stands at an
+earlier place (smaller doc_id, or earlier in the document) it is a repeat; the
+repeats of a document join to whole runs, whose lines are deleted. The first
+place of a run always stays.
 
 With `words`, shorter runs count as well: one line or up to `lines` - 1 lines
 of together so many words, and a whole text of fewer than `lines` lines that
@@ -41,29 +42,30 @@ def repeated_places(docs: DataFrame, lines: int = 3, words: int | None = None) -
     """(doc, own, places): the windows that repeat an earlier place, each as its first line, from 0, times lines + 1, plus its number of lines."""
     split = F.split("text", "\n")
     hashed = docs.select(*_own(), F.transform(split, lambda x: F.xxhash64(x)).alias("h"), *([F.transform(split, _n_words).alias("w")] if words else []))
-    place = lambda i, n: ((i - 1) * (lines + 1) + n).alias("at")
-
-    def window(i):
-        head, tail = F.xxhash64(F.slice("h", i, lines - 1)), F.xxhash64(F.slice("h", i + 1, lines - 1))
-        before = tail < head
-        return F.struct(place(i, lines), F.least(head, tail).alias("print"), before.alias("before"), F.when(before, F.get("h", i - 1)).otherwise(F.get("h", i + lines - 2)).alias("beyond"))
+    place = lambda i, n: ((i - 1) * (lines + 1) + n).cast("long").alias("at")
 
     def starts(n, held=None):
         found = F.filter(F.sequence(F.lit(1), F.size("h")), lambda i: i <= F.size("h") - n + 1)
         return found if held is None else F.filter(found, held)
 
     def short(n, whole):
-        """Windows of n < lines lines: of enough words, or a whole text; `beyond` tells the kinds apart."""
+        """Windows of n < lines lines: of enough words, or a whole text; the key tells the kinds apart."""
         many = lambda i: F.aggregate(F.slice("w", i, n), F.lit(0), lambda a, x: a + x)
         held = (lambda i: (F.size("h") == n) & (many(i) > 0)) if whole else (lambda i: many(i) >= words)
-        return F.transform(starts(n, held), lambda i: F.struct(place(i, F.lit(n)), F.xxhash64(F.slice("h", i, n)).alias("print"), F.lit(False).alias("before"), F.lit(-n if whole else n).cast("long").alias("beyond")))
-
+        return F.transform(starts(n, held), lambda i: F.struct(place(i, F.lit(n)), F.xxhash64(F.slice("h", i, n)).alias("print"), F.lit(-n if whole else n).cast("long").alias("key")))
+
+    # Fingerprints: the positions that windows select, each with the windows that selected it.
+    held = hashed.where(F.size("h") >= lines).select("doc", "own", "h", F.transform(starts(lines), lambda i: i + lines - F.array_position(F.reverse(F.slice("h", i, lines)), F.array_min(F.slice("h", i, lines)))).alias("pick"))
+    around = lambda p: F.filter(F.sequence(F.greatest(p - lines + 1, F.lit(1)), F.least(p, F.size("pick").cast("long"))), lambda i: F.get("pick", i.cast("int") - 1) == p)
+    of = lambda p: F.transform(around(p), lambda i: F.struct(place(i, lines), F.xxhash64(F.slice("h", i.cast("int"), lines)).alias("key")))
+    prints = held.select("doc", "own", F.explode(F.transform(F.array_distinct("pick"), lambda p: F.struct(F.get("h", p.cast("int") - 1).alias("print"), of(p).alias("windows")))).alias("p")).select("doc", "own", "p.*")
+    spot = F.struct("doc", "own", F.col("windows")[0].at.alias("at"))
+    joined = prints.groupBy("print").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").select("print")
+    windows = prints.join(joined, "print", "left_semi").select("doc", "own", "print", F.explode("windows").alias("w")).select("doc", "own", "w.at", "print", "w.key")
     if words:
-        found = F.concat(F.transform(starts(lines), window), *(short(n, whole) for n in range(1, lines) for whole in (False, True)))
-        windows = hashed.where(F.size("h") >= 1).select("doc", "own", F.explode(found).alias("w")).select("doc", "own", "w.*")
-    else:
-        windows = hashed.where(F.size("h") >= lines).select("doc", "own", F.explode(F.transform(F.sequence(F.lit(1), F.size("h") - lines + 1), window)).alias("w")).select("doc", "own", "w.*")
-    key = ["print", "before", "beyond"]
+        brief = F.concat(*(short(n, whole) for n in range(1, lines) for whole in (False, True)))
+        windows = windows.unionByName(hashed.select("doc", "own", F.explode(brief).alias("w")).select("doc", "own", "w.*"))
+    key = ["print", "key"]
     first = windows.groupBy(*key).agg(F.min(F.struct("doc", "own", "at")).alias("first"), F.max(F.struct("doc", "own", "at")).alias("last")).where("first <> last").drop("last")
     later = windows.join(first, key).where(F.struct("doc", "own", "at") > F.col("first"))
     return later.groupBy("doc", "own").agg(F.collect_set("at").alias("places"))
