@@ -46,7 +46,9 @@ def block_table(docs: DataFrame, limit: int = 1 << 20) -> tuple[DataFrame, int]:
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_into_blocks(limit), BLOCK)
     name = f"sievework_{uuid.uuid4().hex}"
     made.repartition(buckets, "block").write.bucketBy(buckets, "block").option("path", fresh_path(spark, "blocks")).option("compression", "uncompressed").saveAsTable(name)
-    return spark.table(name), total
+    blocks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # an external table: its files stay where the plan has found them, its name goes
+    return blocks, total
 
 
 class Block:

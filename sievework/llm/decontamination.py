@@ -121,7 +121,9 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, least: int, enoug
     said = ("doc_id", "row", "item", "item_words")
     plain = runs.join(valued, ["item", "variant"], "left_anti").select(*said, F.size("places").alias("covered"), F.lit(0).alias("slots"), F.lit(0).alias("changed"))
     open_ = runs.join(valued, ["item", "variant"])
-    doc_words = docs.join(open_.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"]).select("row", words(template(F.col("text"), True)).alias("doc_slots"))
+    hit = open_.select("row").distinct()
+    hit = F.broadcast(hit) if hit.count() <= broadcast else hit
+    doc_words = docs.join(hit, "row", "left_semi").dropDuplicates(["row"]).select("row", words(template(F.col("text"), True)).alias("doc_slots"))
     paired = open_.join(doc_words, "row").select(
         *said, "shift", F.size("places").alias("covered"),
         F.filter(F.transform("places", lambda p: F.struct(F.get("item_slots", p).alias("a"), F.get("doc_slots", p + F.col("shift")).alias("b"))), lambda s: s.a.contains(VALUE)).alias("pairs"),

@@ -91,11 +91,12 @@ class WordsOf:
 def _count(key: tuple, rows: pa.Table) -> pa.Table:
     counts = np.zeros((2, BINS))
     scripts = np.zeros(len(ALPHABETS))
-    for batch in rows.to_batches(max_chunksize=200):
-        words = WordsOf(batch.column("text"))
-        counts[0] += np.bincount(words.triples, minlength=BINS)
-        counts[1] += np.bincount(words.words, minlength=BINS)
-        scripts += np.bincount(words.scripts, minlength=len(ALPHABETS))
+    for batch in rows.to_batches():
+        for lo, hi in text_slices(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False), 1 << 20):
+            words = WordsOf(batch.column("text")[lo:hi])
+            counts[0] += np.bincount(words.triples, minlength=BINS)
+            counts[1] += np.bincount(words.words, minlength=BINS)
+            scripts += np.bincount(words.scripts, minlength=len(ALPHABETS))
     return pa.table({"lang": [key[0].as_py()], "counts": [counts.astype("<f4").tobytes()], "scripts": [scripts.tolist()]})
 
 
@@ -108,19 +109,23 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, sample: int = 1000, penalty: float = 8.0) -> Model | None:
-    """Counts on the executors; the driver gets two tables of fixed size a language."""
+def fit(docs: DataFrame, sample: int = 1000, penalty: float = 8.0, parts: int = 4) -> Model | None:
+    """Counts on the executors; the driver gets two tables of fixed size from each of `parts` portions of a language."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    # Hashes thin the rows to about twice the sample before they are ranked.
-    sizes = F.broadcast(labelled.groupBy("lang").agg(F.count("*").alias("size")))
-    few = labelled.select("doc_id", "lang").join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) * F.col("size").cast("double") <= F.lit(2.0 * sample * (1 << 40)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("doc_id", "lang")
-    texts = labelled.select("doc_id", "text").join(picked, "doc_id").select("lang", "text")
-    found = sorted(texts.groupBy("lang").applyInArrow(_count, "lang string, counts binary, scripts array<double>").collect(), key=lambda r: r["lang"])
-    if not found:
+    # Hashes of whole rows thin them to about twice the sample, text and all, before they are ranked; repeated ids stay rows of their own.
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("size"))
+    own = F.xxhash64("doc_id", "text")
+    few = labelled.select("lang", "text", own.alias("own")).join(sizes, "lang").where(F.pmod("own", F.lit(1 << 40)) * F.col("size").cast("double") <= F.lit(2.0 * sample * (1 << 40)))
+    order = Window.partitionBy("lang").orderBy("own", "text")
+    texts = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("lang", "text", (F.col("n") % parts).alias("part"))
+    portions = texts.groupBy("lang", "part").applyInArrow(_count, "lang string, counts binary, scripts array<double>").collect()
+    if not portions:
         return None
-    counts = np.stack([np.frombuffer(r["counts"], "<f4").reshape(2, BINS) for r in found], axis=2).astype(float)
+    found = []
+    for lang in sorted({r["lang"] for r in portions}):
+        own_rows = [r for r in portions if r["lang"] == lang]
+        found.append({"lang": lang, "counts": sum(np.frombuffer(r["counts"], "<f4").reshape(2, BINS).astype(float) for r in own_rows), "scripts": np.sum([r["scripts"] for r in own_rows], axis=0)})
+    counts = np.stack([r["counts"] for r in found], axis=2)
     logs = np.log((counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True))
     logs -= logs.mean(axis=2, keepdims=True)
     scripts = np.array([r["scripts"] for r in found])

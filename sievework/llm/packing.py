@@ -1,8 +1,9 @@
 """Cost-balanced packing of documents into sequences of fixed length.
 
 A document's ids and an end id are cut into full pieces of the sequence
-length, which are sequences of their own, and a rest. Rests are dealt into
-groups of bounded size. In a group, the cost of a piece is estimated as
+length, which are sequences of their own, and a rest. Pieces are dealt into
+groups of about `group_bytes` of text, the full ones of a long document one by
+one. In a group, the cost of a piece is estimated as
 linear * n + quadratic * n^2 (attention grows with the square), and pieces go in
 descending cost to the lowest-cost sequence that still has room. A piece that
 fits nowhere is cut over the sequences with room, so that only a group's last
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back
+from .common import give_back, text_bytes
 from .tokenizing import encoder, text_slices
 
 _PIECES = "doc_id long, start long, length int, doc_tokens long, spread long, ids binary"
@@ -106,11 +107,11 @@ def _pack_group(length: int, linear: float, quadratic: float):
     return packed
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024, group_docs: int = 2048, linear: float = 1.0, quadratic: float = 1 / 1024) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024, group_bytes: int = 4 << 20, linear: float = 1.0, quadratic: float = 1 / 1024) -> DataFrame:
     """Packs all documents; one row a piece with its ids (little-endian unsigned 32-bit)."""
-    groups = max(1, math.ceil(docs.count() / group_docs))
+    groups = max(1, math.ceil(text_bytes(docs) / group_bytes))
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(tokenizer, end_id, length), _PIECES)
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "spread"), F.lit(groups)))
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "spread", F.when(F.col("length") == length, F.col("start"))), F.lit(groups)))
     packed = dealt.groupBy("grp").applyInArrow(_pack_group(length, linear, quadratic), PACKED)
     return packed.select("doc_id", "start", F.col("length").cast("long").alias("length"), "doc_tokens", "ids", (F.col("grp") * F.lit(1 << 32) + F.col("sequence")).alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
 

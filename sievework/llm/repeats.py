@@ -145,16 +145,16 @@ def _send_prints(view_of, k: int, width: int, ranges: int):
                     continue
                 first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
                 other = np.concatenate([[True], (prints[1:] != prints[:-1]) | (text[1:] != text[:-1])])
-                kinds = np.minimum(np.add.reduceat(other.astype(np.int64), first), 127)
+                kinds = np.add.reduceat(other.astype(np.int32), first)
                 several = np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)
-                prints, notes = prints[first], (kinds + 128 * several).astype(np.uint8)
+                prints, notes = prints[first], (2 * kinds + several).astype(np.int32)
                 at = _range_of(prints, ranges)
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]])
                 yield pa.RecordBatch.from_pydict(
                     {
                         "part": pa.array(at[cuts[:-1]].astype(np.int64)), "block": pa.array([block.number] * (len(cuts) - 1), pa.int64()),
                         "prints": pa.array([pack_sorted(prints[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
-                        "notes": pa.array([squeeze(notes[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
+                        "notes": pa.array([pack_planes(notes[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
                     }
                 )
 
@@ -164,13 +164,13 @@ def _send_prints(view_of, k: int, width: int, ranges: int):
 def _answer_prints(many: int):
     def answered(key: tuple, rows: pa.Table) -> pa.Table:
         lists = [unpack_sorted(x) for x in rows["prints"].to_pylist()]
-        notes = np.concatenate([np.frombuffer(unsqueeze(x), np.uint8) for x in rows["notes"].to_pylist()])
+        notes = np.concatenate([unpack_planes(x, np.int32) for x in rows["notes"].to_pylist()])
         order = np.argsort(everything := np.concatenate(lists), kind="stable")
         ordered = everything[order]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         size = np.diff(np.append(first, len(ordered)))
-        repeated = (size > 1) | (np.maximum.reduceat(notes[order], first) >= 128)
-        crowded = repeated & (np.add.reduceat((notes[order] & 127).astype(np.int64), first) > many)
+        repeated = (size > 1) | (np.maximum.reduceat(notes[order] & 1, first) > 0)
+        crowded = repeated & (np.add.reduceat((notes[order] >> 1).astype(np.int64), first) > many)
         answer = np.empty(len(order), np.uint8)
         answer[order] = np.repeat(repeated + 2 * crowded.astype(np.uint8), size)
         ends = np.cumsum([len(x) for x in lists])
