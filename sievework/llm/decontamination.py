@@ -156,6 +156,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: in
 def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST, enough: int = ENOUGH, broadcast: int = 200_000) -> DataFrame:
     """The documents that hold no item of the benchmark."""
     found = _found(docs, benchmark, window, least, enough, broadcast).select(F.col("row").alias("leaky")).distinct()
+    found = materialize(found, "leaky")
+    found = F.broadcast(found) if found.count() <= broadcast else found
     return docs.join(found, row_key("doc_id") == found.leaky, "left_anti")
 
 

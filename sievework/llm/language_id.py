@@ -113,7 +113,7 @@ def fit(docs: DataFrame, sample: int = 1000, penalty: float = 8.0, parts: int =
     """Counts on the executors; the driver gets two tables of fixed size from each of `parts` portions of a language."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     # Hashes of whole rows thin them to about twice the sample, text and all, before they are ranked; repeated ids stay rows of their own.
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("size"))
+    sizes = F.broadcast(labelled.groupBy("lang").agg(F.count("*").alias("size")))  # a row a language, of which the model holds two tables
     own = F.xxhash64("doc_id", "text")
     few = labelled.select("lang", "text", own.alias("own")).join(sizes, "lang").where(F.pmod("own", F.lit(1 << 40)) * F.col("size").cast("double") <= F.lit(2.0 * sample * (1 << 40)))
     order = Window.partitionBy("lang").orderBy("own", "text")

@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 _LAST = (1 << 63) - 1
 
 
@@ -65,6 +67,7 @@ def repeated_places(docs: DataFrame, lines: int = 3, words: int | None = None) -
     if words:
         brief = F.concat(*(short(n, whole) for n in range(1, lines) for whole in (False, True)))
         windows = windows.unionByName(hashed.select("doc", "own", F.explode(brief).alias("w")).select("doc", "own", "w.*"))
+    windows = materialize(windows, "windows")  # read twice
     key = ["print", "key"]
     first = windows.groupBy(*key).agg(F.min(F.struct("doc", "own", "at")).alias("first"), F.max(F.struct("doc", "own", "at")).alias("last")).where("first <> last").drop("last")
     later = windows.join(first, key).where(F.struct("doc", "own", "at") > F.col("first"))

@@ -144,7 +144,7 @@ def _components(rows, width, num, den):
 @pytest.mark.parametrize(("width", "share"), [(3, (90, 100)), (5, (80, 100)), (2, (50, 100))])
 def test_ngram_join(spark, width, share, crowd, monkeypatch):
     monkeypatch.setattr(ngram_join, "CROWD", crowd)
-    for seed in (1, 2) if crowd > 1 else (3, 4):
+    for seed in (1,) if crowd > 1 else (3,):
         rows = _corpus(seed, words=8, letters="ab")
         got = ngram_join.jaccard_components(_frame(spark, rows), width, share)
         assert Counter(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == _components(rows, width, *share)
