@@ -64,7 +64,7 @@ class _Properties(HTMLParser):
         self.depth, self.scopes, self.open = 0, [], []
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("br", "img", "meta", "link", "hr", "input"):
+        if tag in ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"):
             a = dict(attrs)
             if self.inside and a.get("itemprop") and a.get("content"):
                 self.found.setdefault(a["itemprop"], []).append(a["content"])

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import staged
+
 
 def _lead(share: float):
     def clustered(key: tuple, rows: pa.Table) -> pa.Table:
@@ -36,12 +38,14 @@ def leader_clusters(rows: DataFrame, share: float = 0.8) -> DataFrame:
     Python. Equal sets of one title are one row there, with the best id
     standing for all, so copies do not swell a group.
     """
-    rows = rows.withColumn("members", F.array_sort("members"))
+    rows = rows.withColumn("members", F.array_sort("members")).withColumn("own", F.md5(F.array_join("members", "\n", "\0")))
+    rows = staged(rows, "titled")  # texts are read and folded once
     open_ = rows.where("title <> ''")
-    kinds = open_.groupBy("title", "members").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("head"), F.max("score").alias("score"))
+    kinds = open_.groupBy("title", "own").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("head"), F.max("score").alias("score"), F.first("members").alias("members"))
     several = kinds.groupBy("title").count().where("count > 1").select("title")
     led = kinds.join(several, "title", "left_semi").select("title", F.col("head").alias("id"), "score", "members").groupBy("title").applyInArrow(_lead(share), "id long, leader long")
-    heads = open_.join(kinds.select("title", "members", "head"), ["title", "members"]).select("id", "head")
+    heads = open_.select("id", "title", "own").join(kinds.select("title", "own", "head"), ["title", "own"]).select("id", "head")
     placed = heads.join(led.withColumnRenamed("id", "head"), "head", "left").select("id", F.coalesce("leader", "head").alias("leader"))
     placed = placed.unionByName(rows.where("title = ''").select("id", F.col("id").alias("leader")))
+    placed = staged(placed, "placed")
     return placed.join(placed.groupBy("leader").agg(F.count("*").alias("size")), "leader").select("id", "leader", "size")

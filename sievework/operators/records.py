@@ -6,20 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ranked(rows: DataFrame, order: str, key: str, parts: int = 64) -> DataFrame:
-    """Adds `rank`, from 1, by a number and a unique key, in two levels: ranks inside `parts` ranges of the number, and the ranges' sizes before them.
+def running(rows: DataFrame, order: str, *keys: str, weight: str | None = None, parts: int = 64) -> DataFrame:
+    """Adds `rank`, the sum of `weight` (else 1 a row) up to each row in order of a number and keys, and `all`, that of all rows.
 
-    No task sorts the whole table; a range holds what lies between two quantiles, so only equal values of the number share one.
+    In two levels: sums inside `parts` ranges of the number, and those of the ranges before. No task sorts the whole table; a range holds what lies
+    between two quantiles, so only equal values of the number must share one.
     """
     bounds = sorted(set(rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.2 / parts)))
     at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order))) if bounds else F.lit(0)
-    dealt = rows.withColumn("range", at)
-    sizes = dealt.groupBy("range").count()
-    before = sizes.select("range", F.coalesce(F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("range").orderBy(order, key))
+    dealt, each = rows.withColumn("range", at), F.col(weight) if weight else F.lit(1)
+    ranges = dealt.groupBy("range").agg(F.sum(each).alias("held"))  # at most `parts` rows
+    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranges.select("range", F.coalesce(F.sum("held").over(upto), F.lit(0)).alias("before"), F.sum("held").over(Window.partitionBy()).alias("all"))
+    inside = F.sum(each).over(Window.partitionBy("range").orderBy(order, *keys).rowsBetween(Window.unboundedPreceding, 0))
     return dealt.withColumn("inside", inside).join(F.broadcast(before), "range").withColumn("rank", F.col("inside") + F.col("before")).drop("range", "inside", "before")
 
 
+def ranked(rows: DataFrame, order: str, key: str, parts: int = 64) -> DataFrame:
+    """Adds `rank`, from 1, by a number and a unique key."""
+    return running(rows, order, key, parts=parts).drop("all")
+
+
 def bands(rank: Column, n: Column, share: float = 0.05) -> Column:
     """`top`, `middle` or `bottom` for the first, the middle and the last `share` of n ranks (from 1), else null."""
     k = F.floor(n * share)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .records import running
+
 
 def stride(rows: DataFrame, group: str, order: str, quota: int) -> DataFrame:
     """Every max(1, n // quota)-th row of each group in order, up to the quota."""
@@ -41,7 +43,6 @@ def top_per(rows: DataFrame, group: list[str], order: list[Column], n: int) -> D
 def nearest_rank(rows: DataFrame, value: str, q: float) -> DataFrame:
     """The value at index int((1 - q) * (n - 1)) of the descending list: counts of values give it without sorting all rows in one task."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("k"))
-    above = F.sum("k").over(Window.orderBy(F.desc(value)))
-    placed = counts.withColumn("upto", above).withColumn("n", F.sum("k").over(Window.partitionBy()))
+    placed = running(counts.withColumn("down", -F.col(value)), "down", weight="k").withColumnsRenamed({"rank": "upto", "all": "n"})
     index = F.floor((F.lit(1) - F.lit(q)) * (F.col("n") - 1))
     return placed.where((F.col("upto") > index) & (F.col("upto") - F.col("k") <= index)).select(F.col(value).alias("value"), "n")

@@ -1,7 +1,7 @@
 """All queries of the library by name, and the SQL that checks them."""
 
-from . import curation, matching, records, tagging
+from . import curation, matching, records, rules, tagging
 
-_FAMILIES = (matching, curation, tagging, records)
+_FAMILIES = (matching, curation, tagging, records, rules)
 QUERIES = {name: f for family in _FAMILIES for name, f in family.QUERIES.items()}
 ORACLES = {name: sql for family in _FAMILIES for name, sql in family.SQLS.items() if sql}

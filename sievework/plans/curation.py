@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.records import running
 from ..operators import routing as R
 from ..operators import sampling as S
 from ..operators import scoring as Q
@@ -206,13 +207,13 @@ def nearest_rank_quantile(spark: SparkSession, folder: str) -> DataFrame:
 @query("""with r as (select avg(a) over (partition by x) as rx, avg(b) over (partition by y) as ry from (select n_chars as x, quality as y, row_number() over (order by n_chars) as a, row_number() over (order by quality) as b from documents join labels using (doc_id)))
 select round(corr(rx, ry), 6) as rho, count(*) as n from r""")
 def spearman(spark: SparkSession, folder: str) -> DataFrame:
-    """Average ranks come from counts of values, so no task sorts all rows."""
+    """Average ranks come from counts of values and two-level running sums, so no task sorts all of them."""
     t = Tables(spark, folder)
     rows = t.read("documents").select("doc_id", F.col("n_chars").alias("x")).join(t.read("labels").select("doc_id", F.col("quality").alias("y")), "doc_id")
 
     def ranks(c: str) -> DataFrame:
         counts = rows.groupBy(c).agg(F.count("*").alias("k"))
-        return counts.select(c, (F.sum("k").over(Window.orderBy(c)) - (F.col("k") - 1) / 2).alias(f"r{c}"))
+        return running(counts, c, weight="k").select(c, (F.col("rank") - (F.col("k") - 1) / 2).alias(f"r{c}"))
 
     return rows.join(ranks("x"), "x").join(ranks("y"), "y").agg(F.round(F.corr("rx", "ry"), 6).alias("rho"), F.count("*").alias("n"))
 
@@ -220,10 +221,9 @@ def spearman(spark: SparkSession, folder: str) -> DataFrame:
 @query("""with r as (select o_totalprice as v, row_number() over (order by o_totalprice desc, o_orderkey) - 1 as i, count(*) over () as n from orders)
 select case when i < n // 3 then 'top' when i >= n - n // 3 then 'bottom' else 'middle' end as band, count(*) as size, round(avg(v), 2) as mean from r group by 1""")
 def tertile_band_means(spark: SparkSession, folder: str) -> DataFrame:
-    """Thirds of sizes t, n - 2t and t. Ranks are global: per-value counts first, then a running sum over them, then ties by key."""
-    rows = Tables(spark, folder).read("orders").select("o_orderkey", F.col("o_totalprice").alias("v"))
-    above = rows.groupBy("v").agg(F.count("*").alias("k")).select("v", (F.sum("k").over(Window.orderBy(F.desc("v"))) - F.col("k")).alias("before"), F.sum("k").over(Window.partitionBy()).alias("n"))
-    placed = rows.join(above, "v").withColumn("i", F.col("before") + F.row_number().over(Window.partitionBy("v").orderBy("o_orderkey")) - 1)
+    """Thirds of sizes t, n - 2t and t of a ranking in two levels."""
+    rows = Tables(spark, folder).read("orders").select("o_orderkey", F.col("o_totalprice").alias("v"), (-F.col("o_totalprice")).alias("down"))
+    placed = running(rows, "down", "o_orderkey").select("v", (F.col("rank") - 1).alias("i"), F.col("all").alias("n"))
     third = F.floor(F.col("n") / 3)
     band = F.when(F.col("i") < third, "top").when(F.col("i") >= F.col("n") - third, "bottom").otherwise("middle")
     return placed.groupBy(band.alias("band")).agg(F.count("*").alias("size"), F.round(F.avg("v"), 2).alias("mean"))

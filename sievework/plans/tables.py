@@ -43,9 +43,11 @@ class Tables:
     def swaps(self) -> DataFrame:
         """(target, swap, quality): parts of one brand and type and like price stand in for each other; nearer prices are better."""
         a = self.read("part").select(F.col("p_partkey").alias("target"), "p_brand", "p_type", F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
-        b = a.select(F.col("target").alias("swap"), "p_brand", "p_type", F.col("price").alias("other"))
+        # Prices less than 30 apart lie in one bin of 30 or in neighbouring ones.
+        step = F.floor(F.col("price") / 30)
+        b = a.select(F.col("target").alias("swap"), "p_brand", "p_type", F.col("price").alias("other"), step.alias("bin"))
         gap = F.abs(F.col("price") - F.col("other"))
-        return a.join(b, ["p_brand", "p_type"]).where((F.col("target") != F.col("swap")) & (gap < 30)).select("target", "swap", F.when(gap < 10, 3).when(gap < 20, 2).otherwise(1).alias("quality"))
+        return a.withColumn("bin", F.explode(F.array(step - 1, step, step + 1))).join(b, ["p_brand", "p_type", "bin"]).where((F.col("target") != F.col("swap")) & (gap < 30)).select("target", "swap", F.when(gap < 10, 3).when(gap < 20, 2).otherwise(1).alias("quality"))
 
 
 #: The same roles for the SQL check.

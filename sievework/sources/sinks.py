@@ -32,3 +32,12 @@ def repeated_keys(rows: DataFrame, key: list[str]) -> DataFrame:
 
 def out_of_list(value: Column, allowed: list[str]) -> Column:
     return value.isNotNull() & ~value.isin(allowed)
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Writes df in the shared folder and reads it back: what several steps read is made once and survives lost executors."""
+    from ..streaming.ingest import working_dir
+
+    path = f"{working_dir(df.sparkSession)}/{label}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
