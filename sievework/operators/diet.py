@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 BANNED = {"vegetarian": ("meat", "fish"), "vegan": ("meat", "fish", "dairy", "egg", "honey"), "gluten_free": ("gluten",), "no_nuts": ("nuts",)}
 # Words that name a flag where no entry of the taxonomy does, words that take it back, and words that allow a line to be left out.
 WORDS = {"meat": "beef|pork|chicken|lamb|bacon|ham|turkey|meat", "fish": "fish|salmon|tuna|shrimp|prawns?|anchov(?:y|ies)", "dairy": "milk|cheese|butter|cream|yogurt", "egg": "eggs?", "gluten": "flour|bread|pasta", "nuts": "nuts?|almonds?|walnuts?", "honey": "honey"}
-NOT_REALLY = r"\b(?:vegan|vegetarian|meatless|plant[- ]based|dairy[- ]free|gluten[- ]free|(?:coconut|almond|oat|soy) (?:milk|cream|yogurt))\b"
+NOT_REALLY = "vegan|vegetarian|meatless|plant[- ]based|dairy[- ]free|gluten[- ]free|(?:coconut|almond|oat|soy) (?:milk|cream|yogurt)"
 OMIT = r"\b(?:optional|omit|leave out|if (?:you )?(?:like|want|desired)|to serve|for garnish)\b"
 NEGATED = r"\b(?:not|never|don't|do not|no)\b"
 # Dishes that a stand-in may be made for, by words of title and steps.
@@ -23,7 +23,7 @@ def word(text: Column, words: str) -> Column:
 def item_flags(known: Column, name: Column) -> Column:
     """The taxonomy's flags of an entry; where it has none, those that words of the name tell, unless another word takes them back."""
     told = F.array_compact(F.array(*(F.when(word(name, w), F.lit(flag)) for flag, w in WORDS.items())))
-    return F.coalesce(known, F.when(word(name, NOT_REALLY[3:-3]), F.array().cast("array<string>")).otherwise(told))
+    return F.coalesce(known, F.when(word(name, NOT_REALLY), F.array().cast("array<string>")).otherwise(told))
 
 
 def written_alternatives(note: Column) -> Column:
