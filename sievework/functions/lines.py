@@ -16,8 +16,12 @@ NUMBERS = {"a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5
 # Spellings of units.
 ALIASES = {
     "cup": "cup", "cups": "cup", "c": "cup", "tablespoon": "tbsp", "tablespoons": "tbsp", "tbsp": "tbsp", "teaspoon": "tsp", "teaspoons": "tsp", "tsp": "tsp", "g": "g", "gram": "g", "grams": "g",
-    "kg": "kg", "ml": "ml", "l": "l", "liter": "l", "litre": "l", "oz": "oz", "ounce": "oz", "ounces": "oz", "lb": "lb", "lbs": "lb", "pound": "lb", "pounds": "lb",
+    "tbs": "tbsp", "tsps": "tsp", "kgs": "kg", "mls": "ml", "liters": "l", "litres": "l", "pint": "pint", "pints": "pint", "quart": "quart", "quarts": "quart", "kg": "kg", "ml": "ml", "l": "l", "liter": "l", "litre": "l", "oz": "oz", "ounce": "oz", "ounces": "oz", "lb": "lb", "lbs": "lb", "pound": "lb", "pounds": "lb",
 }
+# Units told by their letter's case, containers (an amount of one where none is written), and parts of a fruit that lead a line.
+CASED = {"T": "tbsp", "t": "tsp", "C": "cup"}
+CONTAINERS = {"can": "can", "cans": "can", "tin": "can", "tins": "can", "jar": "jar", "jars": "jar", "package": "package", "packages": "package", "pkg": "package", "box": "box", "boxes": "box", "bunch": "bunch", "bunches": "bunch", "clove": "clove", "cloves": "clove", "stick": "stick", "sticks": "stick", "slice": "slice", "slices": "slice", "pinch": "pinch", "dash": "dash"}
+PARTS = ("juice", "zest", "rind", "peel")
 SCHEMA = "qty double, qty_max double, unit string, name string, prep string, optional boolean"
 _AMOUNT = re.compile(r"^(\d+)\s+(\d+)/(\d+)|^(\d+)/(\d+)|^(\d+(?:\.\d+)?)")
 
@@ -34,6 +38,12 @@ def _amount(text: str) -> tuple[float | None, str]:
     return (float(NUMBERS[word.lower()]), rest.lstrip()) if rest and word.lower() in NUMBERS else (None, text)
 
 
+def _unit(word: str) -> str | None:
+    """The unit that a word spells; a single T, t or C by its case."""
+    word = word.rstrip(".")
+    return CASED.get(word) or ALIASES.get(word.lower()) or CONTAINERS.get(word.lower())
+
+
 def _ratio(unit: str, to: str) -> float | None:
     """How many of `to` one `unit` is; none across dimensions."""
     kinds = {name: (kind, factor) for name, kind, factor in UNITS}
@@ -59,27 +69,43 @@ def parse(line: str | None) -> dict:
     if not text or text.endswith(":"):
         return out
     out["optional"] = bool(re.search(r"\boptional\b|\bto taste\b", text, re.I))
+    part = re.match(rf"^({'|'.join(PARTS)}) of (?=\d)", text, re.I)
+    if part:  # "juice of 1 lime": so many limes, of which the juice
+        text = text[part.end() :]
     qty, rest = _amount(text)
+    if part:
+        named = _named(rest)
+        return out | {"qty": qty} | named | {"name": f"{named['name']} {part[1].lower()}" if named["name"] else None}
     top = None
     m = re.match(r"^(?:-|to\b)\s*", rest) if qty is not None else None
     if m:
         top, after = _amount(rest[m.end() :])
         rest = after if top is not None else rest
     if qty is None:
+        word, _, after = text.partition(" ")
+        if word.lower() in CONTAINERS and after.startswith("of "):  # "can of tomatoes": one of it
+            return out | {"qty": 1.0, "unit": CONTAINERS[word.lower()]} | _named(after)
         return out | _named(text)
+    rest = re.sub(r"^\([^)]*\)\s*", "", rest)  # a package's size: "2 (14 oz) cans tomatoes"
     word, _, after = rest.partition(" ")
-    unit = ALIASES.get(word.lower().rstrip(".")) if qty is not None and after else None
+    unit = _unit(word) if after else None
     rest = after if unit else rest
     more = re.match(r"(?:plus|\+|and)\s+(?=[\d½])", rest, re.I) if unit else None
     if more:  # "1 cup plus 2 tbsp": the second amount in the first one's unit
         extra, tail = _amount(rest[more.end() :])
         word, _, after = tail.partition(" ")
-        other = ALIASES.get(word.lower().rstrip("."))
+        other = _unit(word)
         if extra is not None and other and (ratio := _ratio(other, unit)) is not None:
             qty, rest = qty + extra * ratio, after
     return out | {"qty": qty, "qty_max": top, "unit": unit} | _named(rest)
 
 
+def split_items(line: str | None, known: frozenset[str]) -> list[str]:
+    """The items of a line such as `salt, pepper and oil`, if every one of them is known; else the line as it is."""
+    parts = [p.strip() for p in re.split(r",\s*(?:and\s+)?|\s+and\s+|\s*&\s*", line or "") if p.strip()]
+    return parts if len(parts) > 1 and all(p.lower() in known for p in parts) else [line] if line else []
+
+
 def _parsed(lines: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse(x) for x in lines], columns=["qty", "qty_max", "unit", "name", "prep", "optional"])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dishes
 from ..operators import diet, records, scoring
 from .tables import Tables
 
@@ -230,3 +231,31 @@ def diet_decisions(spark: SparkSession, folder: str) -> DataFrame:
     swaps = lines.select("id", "line", "slug").join(closure, "slug").join(best, "above").select("id", "line", "stand_in").distinct()
     rows = lines.select("id", "line", F.when(c("flags").isNotNull(), c("slug")).alias("slug"), "flags", F.array().cast("array<array<string>>").alias("written"), "omit")
     return diet.decide(rows, swaps, ("meat", "dairy"))
+
+
+@query("""with f as (select l_orderkey as id, count(*) filter (where p_type = 'PROMO') as protein, count(*) filter (where p_type = 'SMALL') as sweet, count(*) filter (where p_type = 'ECONOMY') as savoury, count(*) filter (where p_brand = 'Brand#9') as alcohol, count(*) as items from lineitem join part on p_partkey = l_partkey group by 1)
+select id, case when alcohol > 0 and items <= 6 then 'drink' when sweet >= 2 and protein = 0 and savoury = 0 then 'dessert' when protein > 0 then 'main' when savoury > 0 then 'side' end as course from f""")
+def course_from_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The course that an item's parts suggest."""
+    t, c = Tables(spark, folder), F.col
+    kinds = {"protein": c("p_type") == "PROMO", "sweet": c("p_type") == "SMALL", "savoury": c("p_type") == "ECONOMY", "alcohol": c("p_brand") == "Brand#9"}
+    rows = t.read("lineitem").join(t.read("part"), c("l_partkey") == c("p_partkey")).groupBy(c("l_orderkey").alias("id")).agg(*(F.count_if(holds).alias(n) for n, holds in kinds.items()), F.count("*").alias("items"))
+    return rows.select("id", dishes.course_by_items(*(c(n) for n in (*kinds, "items"))).alias("course"))
+
+
+@query("""with m as (select l_orderkey as id, sum(case when p_size % 3 <> 0 then l_quantity * p_size end) as mass from lineitem join part on p_partkey = l_partkey group by 1), v as (select id, case when mass > 0 then mass / 150.0::double end as v from m),
+d as (select id, v, case when v > 8 then v / 2 when v < 2 then v * 2 else coalesce(v, 4) end as drawn from v)
+select id, greatest(1::double, least(100::double, floor(drawn + 0.5::double))) as servings, case when v is not null then 'mass' else 'prior' end as tier from d""")
+def servings_by_mass(spark: SparkSession, folder: str) -> DataFrame:
+    """Servings from the mass that could be read, drawn towards four; four where nothing could."""
+    t, c = Tables(spark, folder), F.col
+    rows = t.read("lineitem").join(t.read("part"), c("l_partkey") == c("p_partkey")).groupBy(c("l_orderkey").alias("id")).agg(F.sum(F.when(c("p_size") % 3 != 0, c("l_quantity") * c("p_size"))).alias("mass"))
+    told = dishes.servings([("mass", dishes.by_amount(c("mass"), F.lit(150.0)))], F.lit(4.0))
+    return rows.select("id", told.alias("s")).select("id", "s.servings", "s.tier")
+
+
+@query("""with w as (select doc_id, len(list_filter(string_split(regexp_replace(translate(lower(regexp_replace(replace(text, '&', ' and '), '[''’]', '', 'g')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')) as n from documents)
+select doc_id, case when n < 8 then 'too_short' else 'ok' end as status from w""")
+def steps_status(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether a text's lines say enough to follow."""
+    return Tables(spark, folder).read("documents").select("doc_id", dishes.steps_status(F.split("text", "\n")).alias("status"))
