@@ -107,10 +107,10 @@ def head_counts(spark: SparkSession, folder: str) -> DataFrame:
     return Tables(spark, folder).read("part").select(F.col("p_partkey").alias("slug"), G.head_count(text).alias("people"))
 
 
-@query("select o_orderkey as id, (o_orderkey % 3 = 0) as oven, (o_orderkey % 3 = 0)::int + 1 as groups from orders where o_orderkey % 10 = 1")
+@query("select o_orderkey as id, (o_orderkey % 3 = 0) as oven, (o_orderkey % 3 = 0)::int + 1 as groups from orders")
 def tools_in_sentences(spark: SparkSession, folder: str) -> DataFrame:
     """Tools from sentences: an either/or is one group, a skippable sentence none."""
     k = F.col("o_orderkey")
     text = F.concat(F.lit("Fry or grill for "), (k % 7 + 1).cast("string"), F.lit(" minutes. "), F.when(k % 3 == 0, F.lit("Bake it.")).otherwise(F.lit("Optional: bake it.")))
-    rows = Tables(spark, folder).read("orders").where(k % 10 == 1).select(k.alias("id"), G.tools_needed(text).alias("t"))
+    rows = Tables(spark, folder).read("orders").select(k.alias("id"), G.tools_needed(text).alias("t"))
     return rows.select("id", F.exists("t", lambda x: x.tool == "oven").alias("oven"), F.size(F.array_distinct(F.transform("t", lambda x: x.grp))).alias("groups"))

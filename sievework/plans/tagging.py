@@ -51,16 +51,16 @@ def shop_unit_rounding(spark: SparkSession, folder: str) -> DataFrame:
     return _bought(Tables(spark, folder)).where(g.isNotNull()).select(F.col("l_partkey").alias("slug"), "grams", units.shop_count(g, F.lit(500)).alias("packs"), units.step_up(g).alias("shown"))
 
 
-@query(_BOUGHT + " select p_brand as aisle, string_agg(l_partkey::varchar, ',' order by l_partkey) as slugs, count(*) as n, count(*) filter (where grams is null) as unknown from g where p_size <= 5 group by 1")
+@query(_BOUGHT + " select p_brand as aisle, string_agg(l_partkey::varchar, ',' order by l_partkey) as slugs, count(*) as n, count(*) filter (where grams is null) as unknown from g group by 1")
 def shopping_nested_by_aisle(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _bought(Tables(spark, folder)).where("p_size <= 5").groupBy(F.col("p_brand").alias("aisle"))
+    rows = _bought(Tables(spark, folder)).groupBy(F.col("p_brand").alias("aisle"))
     listed = F.array_join(F.transform(F.sort_array(F.collect_list("l_partkey")), lambda x: x.cast("string")), ",")
     return rows.agg(listed.alias("slugs"), F.count("*").alias("n"), F.count_if(F.col("grams").isNull()).alias("unknown"))
 
 
-@query("select slug, n, items from (select l_partkey as slug, count(distinct l_orderkey) as n, string_agg(distinct l_orderkey::varchar, ',' order by l_orderkey::varchar) as items from lineitem where l_orderkey % 50 = 0 group by 1) where n > 1")
+@query("select slug, n, items from (select l_partkey as slug, count(distinct l_orderkey) as n, string_agg(distinct l_orderkey::varchar, ',' order by l_orderkey::varchar) as items from lineitem group by 1) where n > 1")
 def shared_slugs(spark: SparkSession, folder: str) -> DataFrame:
-    rows = Tables(spark, folder).read("lineitem").where("l_orderkey % 50 = 0").groupBy(F.col("l_partkey").alias("slug"))
+    rows = Tables(spark, folder).read("lineitem").groupBy(F.col("l_partkey").alias("slug"))
     items = F.sort_array(F.collect_set(F.col("l_orderkey").cast("string")))
     return rows.agg(items.alias("x")).where(F.size("x") > 1).select("slug", F.size("x").cast("long").alias("n"), F.array_join("x", ",").alias("items"))
 
@@ -139,10 +139,10 @@ def unit_conversion_fraction(spark: SparkSession, folder: str) -> DataFrame:
     return v.select(F.round("v", 6).alias("v"), units.as_fraction(F.col("v")).alias("shown"))
 
 
-@query("""with w as (select doc_id, string_split(trim(regexp_replace(regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')), ' ') as t from documents where not regexp_matches(text, '[&''’]'))
+@query("""with w as (select doc_id, string_split(trim(regexp_replace(regexp_replace(regexp_replace(replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '&', ' and '), '[''’]', '', 'g'), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')), ' ') as t from documents)
 select doc_id, hits from (select doc_id, len(list_filter(t, lambda x: x in ('the', 'thes')))::bigint as a, len(list_filter(t, lambda x: x in ('and', 'ands')))::bigint as b, a + b as hits from w) where a > 0 and b > 0""")
 def fts_match_terms(spark: SparkSession, folder: str) -> DataFrame:
-    docs = Tables(spark, folder).read("documents").where(~F.col("text").rlike("[&'’]"))
+    docs = Tables(spark, folder).read("documents")
     return search.match_all(search.inverted_index(docs, "doc_id", F.col("text")), "doc_id", ["the", "and"])
 
 
@@ -227,9 +227,9 @@ def coverage_gated_sum(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("id", "lines", "known", F.when(F.col("known") >= F.lit(0.8) * F.col("lines"), F.floor(F.col("kcal") / 10 + F.lit(0.5)) / 10).alias("kcal"))
 
 
-@query("""with x as (select distinct l_orderkey, l_linenumber, l_partkey from lineitem where l_orderkey % 100 = 0) select l_orderkey as id, string_agg(l_linenumber || ':' || l_partkey, chr(10) order by l_linenumber, l_partkey) as listed from x group by 1""")
+@query("""with x as (select distinct l_orderkey, l_linenumber, l_partkey from lineitem) select l_orderkey as id, string_agg(l_linenumber || ':' || l_partkey, chr(10) order by l_linenumber, l_partkey) as listed from x group by 1""")
 def ordered_distinct_concat(spark: SparkSession, folder: str) -> DataFrame:
-    rows = Tables(spark, folder).read("lineitem").where("l_orderkey % 100 = 0").groupBy(F.col("l_orderkey").alias("id"))
+    rows = Tables(spark, folder).read("lineitem").groupBy(F.col("l_orderkey").alias("id"))
     line = lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"))
     return rows.agg(F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("l_linenumber", "l_partkey"))), line), "\n").alias("listed"))
 
@@ -297,12 +297,12 @@ def tumbling_window_counts(spark: SparkSession, folder: str) -> DataFrame:
     return windowed_counts(Tables(spark, folder).read("events")).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
-@query("select l_orderkey as id, l_linenumber as line, l_quantity + 0.5::double as qty, 'cup' as unit, p_name as name, 'chopped' as prep from lineitem join part on p_partkey = l_partkey where l_orderkey % 20 = 3")
+@query("select l_orderkey as id, l_linenumber as line, l_quantity + 0.5::double as qty, 'cup' as unit, p_name as name, 'chopped' as prep from lineitem join part on p_partkey = l_partkey")
 def amount_line_parser(spark: SparkSession, folder: str) -> DataFrame:
     """Lines such as `3 1/2 cups red widget (cold), chopped`, written from the tables and read by the parser."""
     from ..functions.lines import parse_line
 
     t = Tables(spark, folder)
-    rows = t.read("lineitem").where("l_orderkey % 20 = 3").join(t.read("part"), F.col("p_partkey") == F.col("l_partkey"))
+    rows = t.read("lineitem").join(t.read("part"), F.col("p_partkey") == F.col("l_partkey"))
     line = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" ½ cups "), F.col("p_name"), F.lit(" (cold), chopped"))
     return rows.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), parse_line(line).alias("p")).select("id", "line", "p.qty", "p.unit", "p.name", "p.prep")
