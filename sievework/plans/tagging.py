@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import bayes, search, units
 from ..operators.matching import best_swap
-from ..operators.selection import guarded_selection
+from ..operators.selection import Rules, constrained_selection, guarded_selection
 from .tables import SQL, Tables
 
 QUERIES, SQLS = {}, {}
@@ -72,6 +72,23 @@ def select_greedy_guarded(spark: SparkSession, folder: str) -> DataFrame:
     return guarded_selection(rows, "lang", 300, 20, 200).select("id", "lang", "reason")
 
 
+#: Half of the documents or fewer, within a budget of letters; of every language some, a third of them short, not over a quarter in English.
+def document_rules(n: int) -> Rules:
+    return Rules(size=n // 2, floor=n // 50, mix={"short": 0.35}, ceiling=0.25, bar=0.25, budget=600.0 * n)
+
+
+def document_pool(t: Tables) -> DataFrame:
+    c = F.col
+    return t.read("documents").select(c("doc_id").alias("id"), c("n_chars").cast("double").alias("score"), c("lang").alias("group"), (c("source") == "src0").alias("editorial"), (c("lang") == "en").alias("capped"), c("n_chars").cast("double").alias("cost"), (c("n_chars") < 800).alias("short"))
+
+
+@query(None)
+def select_constrained(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents by length under floors, a mix, a ceiling and a budget of letters; sequential, so without SQL."""
+    pool = document_pool(Tables(spark, folder))
+    return constrained_selection(pool, document_rules(pool.count())).select("id", "reason")
+
+
 def _tokens(t: Tables) -> DataFrame:
     return t.read("part").select(F.col("p_partkey").alias("id"), F.explode(F.array_distinct(F.concat(F.split("p_name", " "), F.array(F.lower("p_type"))))).alias("token"))
 
