@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Letters with marks, and what they become without.
 MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-# Entities that HTML texts hold.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+# Named entities: those of Latin-1, punctuation, signs and Greek, from the standard library; a hard space is a plain one.
+ENTITIES = {name: chr(point) for name, point in name2codepoint.items()} | {"nbsp": " ", "apos": "'"}
 
 
 def normalise(text: Column) -> Column:
@@ -35,13 +37,28 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.struct((i - 1).alias("at"), F.array_join(F.slice(tokens, i, n), " ").alias("gram"))))
 
 
+def unescape(text: Column) -> Column:
+    """Named, decimal and hexadecimal entities as their characters, each once; unknown ones stay."""
+    names = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
+
+    def one(part: Column) -> Column:
+        ref = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);", 1)
+        point = F.when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, 3, 6), 16, 10)).when(ref.startswith("#"), F.substring(ref, 2, 7)).cast("int")
+        real = point.between(1, 0xD7FF) | point.between(0xE000, 0x10FFFF)
+        char = F.when(real, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+        return F.coalesce(F.concat(F.coalesce(F.try_element_at(names, ref), char), F.substr(part, F.length(ref) + 2)), F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&")
+    decoded = F.concat(F.slice(parts, 1, 1), F.transform(F.slice(parts, F.lit(2), F.size(parts)), one))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(decoded, "")).otherwise(text)
+
+
 def html_to_text(html: Column) -> Column:
     """Drops scripts, styles and comments; raw line ends become spaces, line breaks stand at `br`, `div` and `p` ends; entities are decoded."""
     x = F.regexp_replace(html, r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", "")
     x = F.regexp_replace(x, r"[\r\n]+", " ")
     x = F.regexp_replace(F.regexp_replace(x, r"<br */?>|</div>|</p>", "\n"), r"<[^>]*>", "")
-    for entity, plain in ENTITIES:
-        x = F.replace(x, F.lit(entity), F.lit(plain))
+    x = unescape(x)
     return F.btrim(F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r" ?\n ?", "\n"), F.lit(" \n"))
 
 

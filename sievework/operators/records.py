@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,3 +64,25 @@ def carried(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     both = old.select(F.col(key).alias("k"), F.lit(True).alias("a")).join(new.select(F.col(key).alias("k"), F.lit(True).alias("b")), "k", "full")
     state = F.when(F.col("a").isNull(), "new").when(F.col("b").isNull(), "gone").otherwise("kept")
     return both.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+
+
+def selected(rows: DataFrame, wanted: DataFrame, place: list[str], key: str) -> DataFrame:
+    """The wanted places (of any number of files) with `reason`: `selection_missing` where no row is read there, `selection_mismatch` where its key differs."""
+    read = rows.select(*place, F.col(key).alias("read_key"), F.lit(True).alias("there"))
+    reason = F.when(F.col("there").isNull(), "selection_missing").when(~F.col(key).eqNullSafe(F.col("read_key")), "selection_mismatch")
+    return wanted.join(read, place, "left").withColumn("reason", reason).drop("there", "read_key")
+
+
+def caught(function: Callable, kind: str):
+    """A vectorised helper of one column that gives (value, error): a row that fails keeps its error's type and message and stops nothing else."""
+
+    def one(x) -> tuple:
+        try:
+            return function(x), None
+        except Exception as e:  # any error of any row is that row's result
+            return None, f"{type(e).__name__}: {e}"[:200]
+
+    def each(column: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(x) for x in column.astype(object).where(column.notna(), None)], columns=["value", "error"]).astype(object)
+
+    return F.pandas_udf(each, f"value {kind}, error string")

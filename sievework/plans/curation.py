@@ -84,8 +84,12 @@ def repeated_line_detector(spark: SparkSession, folder: str) -> DataFrame:
 
 _TEXT = r"""regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g')"""
 _TEXT = rf"regexp_replace(regexp_replace(regexp_replace({_TEXT}, '[\r\n]+', ' ', 'g'), '<br */?>|</div>|</p>', chr(10), 'g'), '<[^>]*>', '', 'g')"
-for _entity, _plain in X.ENTITIES:
-    _TEXT = f"replace({_TEXT}, '{_entity}', '{_plain.replace(chr(39), chr(39) * 2)}')"
+_NAMES = ", ".join(f"'{name}': '{plain.replace(chr(39), chr(39) * 2)}'" for name, plain in X.ENTITIES.items())
+_REF = "regexp_extract(p, '^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);', 1)"
+_POINT = f"case when regexp_matches({_REF}, '^#[xX]') then ('0x' || substr({_REF}, 3))::int when starts_with({_REF}, '#') then substr({_REF}, 2)::int end"
+_CHAR = f"case when ({_POINT}) between 1 and 55295 or ({_POINT}) between 57344 and 1114111 then chr({_POINT}) end"
+_TEXT = f"""array_to_string(list_transform(string_split({_TEXT}, '&'), lambda p, i: case when i = 1 then p
+ else coalesce(coalesce(map {{{_NAMES}}}[{_REF}], {_CHAR}) || substr(p, length({_REF}) + 2), '&' || p) end), '')"""
 _TEXT = rf"trim(regexp_replace(regexp_replace({_TEXT}, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), ' ' || chr(10))"
 
 
