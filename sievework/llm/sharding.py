@@ -5,7 +5,8 @@ shuffles each bucket by Fisher-Yates and writes it. A record's shard is the
 one with the highest seeded hash of (doc_id, shard), so a further shard takes
 rows only into itself and never moves a row between the old ones.
 
-Null text counts as empty, null doc_id is hashed as a key of its own; equal
+Null text counts as empty, null doc_id is hashed as a key of its own. Rows that
+share a doc_id share a shard, and their texts deal them over its buckets; equal
 rows stay equal rows, each with its own slot. An empty table gives no rows.
 Other columns of the input are left behind.
 """
@@ -34,7 +35,7 @@ def _fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
 def _shuffle_bucket(seed: int):
     def shuffled(key: tuple, rows: pa.Table) -> pa.Table:
         shard, bucket = (k.as_py() for k in key)
-        rows = rows.sort_by([("doc_id", "ascending"), ("text_crc32", "ascending")])
+        rows = rows.sort_by([("doc_id", "ascending"), ("text_crc32", "ascending"), ("text", "ascending")])
         order = _fisher_yates(rows.num_rows, np.random.default_rng([seed, shard, bucket]))
         return rows.take(pa.array(order)).append_column("pos", pa.array(np.arange(len(order)), pa.int64()))
 
@@ -54,8 +55,9 @@ def shard_documents(docs: DataFrame, shards: int = 40, seed: int = 17, bucket_by
     draw = lambda s: F.xxhash64(key, s, F.lit(seed))
     best = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.struct(draw(s).alias("h"), s.alias("s"))))
     text = F.coalesce("text", F.lit(""))
+    bucket = F.pmod(F.xxhash64(key, text, F.lit(seed + 1)), F.lit(buckets)).cast("int")  # the text splits rows that share an id
     scattered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), best.alias("best"), F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(buckets)).cast("int").alias("bucket"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), best.alias("best"), bucket.alias("bucket"))
         .withColumn("shard", F.col("best.s"))
         .withColumn("grown_shard", F.when(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(shards), F.lit(seed)) > F.col("best.h"), F.lit(shards)).otherwise(F.col("best.s")))
         .drop("best")
