@@ -1,9 +1,10 @@
 """Token-ID / binary output: flat files of unsigned ids (16 bits where
 the vocabulary fits, else 32) with 64-bit document offsets.
 
-Documents are dealt into ranges of doc_id, and each range is sorted, encoded
-and written as one flat file of ids, one of the documents' ends inside it and
-one of the doc_ids. The number of ids before a range is a prefix sum over the
+Documents are dealt into ranges of doc_id and the text's front, so rows that
+share an id are split by text. Each range is sorted, encoded and written as one
+flat file of ids, one of the documents' ends inside it and one of the doc_ids,
+of which the first n_null stand for null. The number of ids before a range is a prefix sum over the
 ranges' totals; with it, every range gets a file of absolute 64-bit offsets.
 Files are written under a name of the attempt and then listed, so a lost or
 repeated task leaves only files that no list names.
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import fresh_path, materialize, text_bytes
 from .tokenizing import encoder, text_slices
 
-_PART = "part int, name string, n_docs long, n_ids long"
-_NO_ID = np.iinfo(np.int64).min
+_PART = "part int, name string, n_docs long, n_null long, n_ids long"
+#: Characters of the text by which documents of one doc_id are dealt into ranges.
+FRONT = 32
 
 
 def _id_type(tokenizer: str) -> str:
@@ -45,7 +47,7 @@ def _write_part(path: str, tokenizer: str, end_id: int):
         where.create_dir(base, recursive=True)
         kind = _id_type(tokenizer)
         part, name = TaskContext.get().partitionId(), uuid.uuid4().hex
-        n_docs = n_ids = 0
+        n_docs = n_null = n_ids = 0
         with where.open_output_stream(f"{base}/{name}.ids") as ids_out, where.open_output_stream(f"{base}/{name}.ends") as ends_out, where.open_output_stream(f"{base}/{name}.docs") as docs_out:
             for batch in batches:
                 sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
@@ -56,10 +58,10 @@ def _write_part(path: str, tokenizer: str, end_id: int):
                     ends = ends + np.arange(1, len(ends) + 1)
                     ids_out.write(ids.tobytes())
                     ends_out.write((ends + n_ids).astype("<i8").tobytes())
-                    docs_out.write(pc.fill_null(batch.column("doc_id")[lo:hi], _NO_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-                    n_docs, n_ids = n_docs + len(ends), n_ids + len(ids)
+                    docs_out.write(pc.fill_null(batch.column("doc_id")[lo:hi], 0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                    n_docs, n_null, n_ids = n_docs + len(ends), n_null + batch.column("doc_id")[lo:hi].null_count, n_ids + len(ids)
         if n_docs:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "n_docs": pa.array([n_docs], pa.int64()), "n_null": pa.array([n_null], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
 
     return written
 
@@ -90,17 +92,17 @@ def _read_part(path: str, tokenizer: str):
                     hi = min(lo + 20_000, len(docs))
                     starts, inside = offsets[lo : hi + 1], offsets[lo : hi + 1] - row["base"]
                     crc = [zlib.crc32(ids[s:e].astype("<u4")) for s, e in zip(inside, inside[1:], strict=False)]
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs[lo:hi], pa.int64(), mask=docs[lo:hi] == _NO_ID), "start": pa.array(starts[:-1], pa.int64()), "n_tokens": pa.array(np.diff(starts), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs[lo:hi], pa.int64(), mask=np.arange(lo, hi) < row["n_null"]), "start": pa.array(starts[:-1], pa.int64()), "n_tokens": pa.array(np.diff(starts), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
     return rows
 
 
 def write_token_ids(docs: DataFrame, tokenizer: str, end_id: int, part_bytes: int = 16 << 20) -> tuple[DataFrame, str]:
-    """Writes the flat files; returns (one row a part: part, name, n_docs, n_ids, base) and their folder."""
+    """Writes the flat files; returns (one row a part: part, name, n_docs, n_null, n_ids, base) and their folder."""
     spark = docs.sparkSession
     path = fresh_path(spark, "token-ids")
     parts = max(spark.sparkContext.defaultParallelism, math.ceil(text_bytes(docs) / part_bytes))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id", F.substring("text", 1, FRONT)).sortWithinPartitions("doc_id", "text")
     listed = materialize(ordered.mapInArrow(_write_part(path, tokenizer, end_id), _PART), "token-parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return listed.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), path
