@@ -58,3 +58,51 @@ with texts as (
 )
 select d.doc_id, coalesce(n_bytes, 0) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(k.x, ''))) as kept_sha256 from documents d left join kept k using (doc_id)
 """
+
+_FIELD = "coalesce(strlen({0}::varchar)::varchar || ':' || {0}::varchar, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+
+
+def _crc_is_even() -> str:
+    """Whether crc32 of doc_id's digits is even; a byte at a time, eight shifts a byte."""
+    step = "xor(s, b)"
+    for _ in range(8):
+        step = f"list_transform([{step}], lambda v: xor(v >> 1, 3988292384 * (v & 1)))[1]"
+    return f"(list_reduce([4294967295::bigint] || list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ascii(substr(doc_id::varchar, i, 1))::bigint), lambda s, b: {step}) & 1) = 1"
+
+
+OP11 = f"""
+with recursive leaves as (
+  select doc_id, source, {_LEAF.format(text="text")} as leaf, case when {_crc_is_even()} then {_LEAF.format(text="replace(text, chr(10), '')")} else {_LEAF.format(text="text")} end as checked from documents
+), ordered as (
+  select *, coalesce('1' || source, '0') as tree, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by source) as n from leaves
+), up(tree, level, i, digest, n) as (
+  select tree, 0, i, leaf, n from ordered
+  union all
+  select tree, level + 1, i // 3, sha256(string_agg(digest, '' order by i)), any_value((n + 2) // 3) from up where n > 1 group by tree, level, i // 3
+), subroots as (
+  select tree, digest, row_number() over (order by tree) - 1 as i, count(*) over () as n from up where n = 1
+), over_up(level, i, digest, n) as (
+  select 0, i, digest, n from subroots
+  union all
+  select level + 1, i // 3, sha256(string_agg(digest, '' order by i)), any_value((n + 2) // 3) from over_up where n > 1 group by level, i // 3
+), families as (
+  select tree, level, i // 3 as p, list(digest order by i) as kids from up where n > 1 group by all
+  union all
+  select '', level, i // 3 as p, list(digest order by i) as kids from over_up where n > 1 group by all
+), walk(rid, tree, level, i, proof, digest) as (
+  select row_number() over (), tree, 0, i, '', checked from ordered
+  union all
+  select rid, tree, w.level + 1, w.i // 3, proof || array_to_string(kids[1:w.i % 3], '') || array_to_string(kids[w.i % 3 + 2:], ''), sha256(array_to_string(kids[1:w.i % 3], '') || digest || array_to_string(kids[w.i % 3 + 2:], ''))
+  from walk w join families f using (tree) where f.level = w.level and f.p = w.i // 3
+), tops(rid, tree, level, i, proof, digest) as (
+  select w.rid, w.tree, 0, s.i, w.proof, w.digest from (select rid, tree, arg_max(proof, level) as proof, arg_max(digest, level) as digest from walk group by rid, tree) w join subroots s using (tree)
+  union all
+  select rid, w.tree, w.level + 1, w.i // 3, proof || array_to_string(kids[1:w.i % 3], '') || array_to_string(kids[w.i % 3 + 2:], ''), sha256(array_to_string(kids[1:w.i % 3], '') || digest || array_to_string(kids[w.i % 3 + 2:], ''))
+  from tops w join families f on f.tree = '' where f.level = w.level and f.p = w.i // 3
+), ends as (
+  select rid, arg_max(proof, level) as proof, arg_max(digest, level) as digest from tops group by rid
+)
+select o.doc_id, o.leaf, s.digest as subroot, r.digest as root, sha256(e.proof) as proof_sha256, e.digest as folded_root, e.digest = r.digest as verified
+from (select *, row_number() over () as rid from ordered) o join ends e using (rid) join subroots s using (tree), (select digest from over_up where n = 1) r
+"""
