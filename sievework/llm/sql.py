@@ -106,3 +106,40 @@ with recursive leaves as (
 select o.doc_id, o.leaf, s.digest as subroot, r.digest as root, sha256(e.proof) as proof_sha256, e.digest as folded_root, e.digest = r.digest as verified
 from (select *, row_number() over () as rid from ordered) o join ends e using (rid) join subroots s using (tree), (select digest from over_up where n = 1) r
 """
+
+OP13 = rf"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+), words as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+), sizes as (
+  select lang, sum(len(w))::bigint as n from words group by lang
+), grams as (
+  select lang, 1 as k, unnest(w) as p from words
+  union all
+  select lang, 2 as k, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as p from words
+  union all
+  select lang, 3 as k, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as p from words
+), counts as (
+  select lang, k, p, count(*) as a from grams group by all having count(*) >= 10
+), candidates as (
+  select *, string_split(p, ' ') as w from counts where k > 1
+), halves as (
+  select lang, k, p, a, 1 as cut, w[1] as front, array_to_string(w[2:], ' ') as back from candidates
+  union all
+  select lang, k, p, a, 2 as cut, w[1] || ' ' || w[2] as front, w[3] as back from candidates where k = 3
+), cuts as (
+  select h.*, f.a as l, r.a as r, (1000000::hugeint * h.a * h.a) // (f.a::hugeint * r.a) as score
+  from halves h join counts f on f.lang = h.lang and f.p = h.front join counts r on r.lang = h.lang and r.p = h.back
+), worst as (
+  select * from cuts qualify row_number() over (partition by lang, p order by score, cut) = 1
+), parts as (
+  select lang, w[1] || ' ' || w[2] as p, a from candidates where k = 3 union all select lang, w[2] || ' ' || w[3] as p, a from candidates where k = 3
+), longer as (
+  select lang, p, max(a) as longer from parts group by lang, p
+), kept as (
+  select lang, w.p as phrase, w.a, l, r, score::bigint as score from worst w left join longer o using (lang, p) where longer is null or 100 * longer < 50 * w.a
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from kept join sizes using (lang) qualify rank <= 2000
+"""
