@@ -13,7 +13,8 @@ from .phrases import op13_collocations
 from .sharding import op1_sharding
 from .suffix_merge import op10_suffix_array_dedup
 from .token_ids import op6_token_ids
+from .wrapper import op12_main_text
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_ngram_jaccard, op3_substring_dedup, op4_line_dedup, op5_packing, op6_token_ids, op7_language_id, op8_nearest, op9_decontamination, op10_suffix_array_dedup, op11_merkle_manifest, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_ngram_jaccard, op3_substring_dedup, op4_line_dedup, op5_packing, op6_token_ids, op7_language_id, op8_nearest, op9_decontamination, op10_suffix_array_dedup, op11_merkle_manifest, op12_main_text, op13_collocations)}
 
 ORACLES: dict[str, str] = {"op2_ngram_jaccard": sql.OP2, "op3_substring_dedup": sql.OP3, "op4_line_dedup": OP4_SQL, "op10_suffix_array_dedup": sql.OP10, "op11_merkle_manifest": sql.OP11, "op13_collocations": sql.OP13}
