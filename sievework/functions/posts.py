@@ -1,17 +1,24 @@
-"""Blog posts, Markdown records and embedded videos, as column expressions."""
+"""Sections of posts, Markdown records and embedded videos, as column expressions."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import html_to_text
 
-# Where the items of a post begin, the lines that end it, and the site that holds the text of posts without items.
-MARKER = r"(?is)^.*?ingredients\s+for\s+([^:]+):(.*)$"
-BARE = r"(?is)^.*?ingredients\s*:(.*)$"
-ENDING = r"(?i)^(posted by|labels:)|^view the complete recipe\.*$"
-ELSEWHERE = r"(?i)allrecipes\.com"
+@dataclass(frozen=True)
+class Section:
+    """How a site writes a list within a text, as patterns of lines: what opens it (group 1 may hold a title), what closes it, what marks its second kind of lines, and addresses that say it stands elsewhere."""
+
+    opens: str
+    closes: str
+    marked: str = r"^[-*\x{2022}]\s*"
+    elsewhere: str | None = None
+
+
 # Headings of a Markdown record's item table and of its steps, and the table's own heading row.
 ITEM_HEADINGS, STEP_HEADINGS, HEADING_ROW = "食材|配料", "做法|步骤|烹饪", "---|食材"
 # Addresses of videos in embeds of all years, and the elements that embed.
@@ -28,27 +35,25 @@ def _found(text: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def post(html: Column) -> Column:
-    """(ingredients, steps, yield_text, reason) of a post: dashed lines after the marker are steps, others items; `reason` is why it has none.
+def section(html: Column, form: Section) -> Column:
+    """(title, plain, marked, reason): the lines of a page's section, plain and marked ones apart; `reason` is why there are none.
 
-    Null html is an empty post. The text ends at a signature, a label list or a link to a copy; lines without letter or digit go.
+    The section begins after what opens it, within that line, and ends before the first line that closes it; without such a line it is the rest of the
+    page. Lines without letter or digit go. Null html is an empty page.
     """
     html = F.coalesce(html, F.lit(""))
-    body = html_to_text(html)
-    marked = body.rlike(MARKER)
-    rest = F.when(marked, F.regexp_extract(body, MARKER, 2)).when(body.rlike(BARE), F.regexp_extract(body, BARE, 1))
-    lines = _lines(F.coalesce(rest, F.lit("")))
-    end = F.array_position(F.transform(lines, lambda x: x.rlike(ENDING)), True)
-    kept = F.filter(F.when(end > 0, F.slice(lines, F.lit(1), (end - 1).cast("int"))).otherwise(lines), lambda x: x.rlike(r"[\p{L}\p{N}]"))
-    dashed = lambda x: x.rlike(r"^[-*]")
-    items = F.filter(kept, lambda x: ~dashed(x))
-    steps = F.transform(F.filter(kept, dashed), lambda x: F.regexp_replace(x, r"^[-* ]+", ""))
-    reason = (
-        F.when(rest.isNull() & html.rlike(ELSEWHERE), "recipe text only on another site").when(rest.isNull(), "no recipe content")
-        .when(F.size(items) == 0, "no lines after the marker")
-    )
-    title = F.when(marked, F.btrim(F.regexp_extract(body, MARKER, 1))).otherwise("")
-    return F.struct(items.alias("ingredients"), steps.alias("steps"), title.alias("yield_text"), reason.alias("reason"))
+    lines = _lines(html_to_text(html))
+    first = F.array_position(F.transform(lines, lambda x: x.rlike(form.opens)), True).cast("int")
+    opening = F.get(lines, first - 1)
+    after = F.concat(F.array(F.regexp_replace(opening, f"^.*?(?:{form.opens})", "")), F.slice(lines, first + 1, F.size(lines)))
+    last = F.array_position(F.transform(after, lambda x: x.rlike(form.closes)), True).cast("int")
+    held = F.filter(F.when(last > 0, F.slice(after, F.lit(1), last - 1)).otherwise(after), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+    held = F.when(first > 0, F.transform(held, lambda x: F.btrim(x))).otherwise(F.array().cast("array<string>"))
+    plain = F.filter(held, lambda x: ~x.rlike(form.marked))
+    marked = F.transform(F.filter(held, lambda x: x.rlike(form.marked)), lambda x: F.regexp_replace(x, form.marked, ""))
+    away = html.rlike(form.elsewhere) if form.elsewhere else F.lit(False)
+    reason = F.when(first > 0, F.when(F.size(plain) == 0, "empty_section")).when(away, "elsewhere").otherwise("no_section")
+    return F.struct(F.btrim(F.coalesce(F.regexp_extract(opening, form.opens, 1), F.lit(""))).alias("title"), plain.alias("plain"), marked.alias("marked"), reason.alias("reason"))
 
 
 def markdown_record(text: Column, name: Column) -> Column:

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from sievework.functions import lines, posts, text
+from sievework.functions import posts, text
 from sievework.operators import diet, records
+from sievework.operators import names as names_of
 
 
 def _one(spark, column, **values):
@@ -11,14 +12,19 @@ def _one(spark, column, **values):
     return df.select(column.alias("x")).first()["x"]
 
 
-def test_post(spark):
+FORM = posts.Section(r"(?i)ingredients(?:\s+for\s+([^:]+))?\s*:", r"(?i)^(?:posted by|view the complete recipe|share to)", elsewhere=r"(?i)allrecipes\.com")
+
+
+def test_section(spark):
     html = "<style>p{}</style><p>Hi!</p><p>Ingredients for 4 Big\nPies:</p>2 cups\nflour<br>1 egg<br/>--<br>- Mix &amp; bake.<br>* Cool</div>Posted by X<br>3 lies"
-    got = _one(spark, posts.post(F.col("h")), h=html)
-    assert (got["ingredients"], got["steps"], got["yield_text"], got["reason"]) == (["2 cups flour", "1 egg"], ["Mix & bake.", "Cool"], "4 Big Pies", None)
-    bare = _one(spark, posts.post(F.col("h")), h="INGREDIENTS : <br>salt<br>View the complete recipe.<br>pepper")
-    assert (bare["ingredients"], bare["yield_text"]) == (["salt"], "")
-    reasons = [_one(spark, posts.post(F.col("h")), h=h)["reason"] for h in ("", None, 'see <a href="http://Allrecipes.com/x">it</a>', "Ingredients:<br>- only a step", "Ingredients:")]
-    assert reasons == ["no recipe content", "no recipe content", "recipe text only on another site", "no lines after the marker", "no lines after the marker"]
+    got = _one(spark, posts.section(F.col("h"), FORM), h=html)
+    assert tuple(got) == ("4 Big Pies", ["2 cups flour", "1 egg"], ["Mix & bake.", "Cool"], None)
+    bare = _one(spark, posts.section(F.col("h"), FORM), h="INGREDIENTS : <br>salt<br>View the complete recipe.<br>pepper")
+    assert tuple(bare) == ("", ["salt"], [], None)
+    footer = _one(spark, posts.section(F.col("h"), FORM), h="So: ingredients: salt<br>oil<br><div>Share to X</div><div>Share to Y</div>")
+    assert tuple(footer) == ("", ["salt", "oil"], [], None)
+    reasons = [_one(spark, posts.section(F.col("h"), FORM), h=h)["reason"] for h in ("", None, 'see <a href="http://Allrecipes.com/x">it</a>', "Ingredients:<br>- only a step", "Ingredients:")]
+    assert reasons == ["no_section", "no_section", "elsewhere", "empty_section", "empty_section"]
 
 
 def test_markdown_record(spark):
@@ -39,29 +45,35 @@ def test_video_url(spark):
 
 
 def test_unlisted_items(spark):
+    foods = {"chicken": "chicken", "chickens": "chicken", "bacon": "bacon", "beef": "beef", "beef broth": "broth", "chicken broth": "broth", "ham": "ham", "pork": "pork", "shrimp": "shrimp"}
+    words = [(k, "food", v) for k, v in foods.items()] + [(k, "adding", None) for k in ("add", "stir in", "brown", "cook")] + [(k, "aside", None) for k in ("serve with", "optional", "or")]
+    vocabulary = spark.createDataFrame(words, "key string, kind string, slug string")
     rows = [
         (1, ["2 eggs"], ["Add the diced chicken. Serve with bacon.", "Stir in beef broth."]),
         (2, ["1 lb chickens"], ["Add chicken and fry."]),
         (3, ["chicken broth"], ["Add chicken; optional: add ham", "Brown the pork or beef. Cook shrimp"]),
-        (4, None, None),
-    ]
-    got = {tuple(r) for r in diet.unlisted(spark.createDataFrame(rows, "id int, ingredients array<string>, steps array<string>"), "id", "ingredients", "steps").collect()}
-    assert got == {(1, "chicken"), (3, "shrimp")}
-
-
-def test_alternatives_and_post_rules():
-    known = {"chicken broth": "chicken_broth", "vegetable broth": "vegetable_broth", "butter": "butter", "olive oil": "olive_oil"}
-    assert lines.resolve("chicken or vegetable broth", known.get) == ("chicken_broth", "or vegetable broth")
-    assert lines.resolve("butter / olive oil", known.get) == ("butter", "or olive oil")
-    assert lines.resolve("lard or olive oil", known.get) == ("olive_oil", "or olive oil")
-    assert lines.resolve("butter", known.get) == ("butter", None)
-    assert lines.resolve("stone", known.get) == (None, None)
-    assert lines.by_context("coriander", "fresh coriander", None) == "cilantro"
-    assert lines.by_context("coriander", "coriander", "bunch") == "cilantro"
-    assert lines.by_context("coriander", "ground coriander", "tsp") == "coriander"
-    assert lines.by_context("tuna", "tuna", "can") == "canned_tuna"
-    assert lines.by_context("ground_beef", "vegan ground beef", "lb", flags={"explicit_meat"}) == "vegetarian_meat"
-    assert lines.by_context(None, "x", None) is None
+        (4, None, None), (5, [], ["Add what is left of the ham", "Add the good ham. Ham", None]),
+    ]
+    df = spark.createDataFrame(rows, "id int, ingredients array<string>, steps array<string>")
+    assert {tuple(r) for r in diet.unlisted(df, "id", "ingredients", "steps", vocabulary).collect()} == {(1, "chicken"), (1, "broth"), (3, "shrimp"), (5, "ham")}
+    assert diet.unlisted(df.where("id = 4"), "id", "ingredients", "steps", vocabulary).count() == 0
+
+
+def test_alternatives(spark):
+    known = spark.createDataFrame([("chicken broth", "chicken_broth"), ("vegetable broth", "vegetable_broth"), ("butter", "butter"), ("olive oil", "olive_oil"), ("red apple", "apple")], "key string, tag string")
+    names = ["chicken or vegetable broth", "butter / olive oil", "lard or olive oil", "butter", "stone", "", "corn or lard or olive oil", "Red or green apple"]
+    got = {r.name: (r.slug, r.note) for r in names_of.alternatives(spark.createDataFrame([(n,) for n in [*names, "butter", None]], "x string"), "x", known).collect()}
+    assert got == {
+        "chicken or vegetable broth": ("chicken_broth", "vegetable broth"), "butter / olive oil": ("butter", "olive oil"), "lard or olive oil": ("olive_oil", "olive oil"), "butter": ("butter", None),
+        "stone": (None, None), "": (None, None), "corn or lard or olive oil": ("olive_oil", "lard or olive oil"), "Red or green apple": ("apple", "green apple"),
+    }
+
+
+def test_context_rules(spark):
+    rules = spark.createDataFrame([("slug:coriander", "word:fresh", "cilantro", 1), ("slug:coriander", "unit:bunch", "cilantro", 2), ("slug:tuna", "unit:can", "canned_tuna", 1), ("flag:meat", "word:vegan", "meatless", 1), ("slug:tuna", "word:vegan", "never", 9)], "subject string, cue string, becomes string, rank int")
+    lines = [(1, "coriander", "Fresh coriander", None, None), (2, "coriander", "coriander", "bunch", []), (3, "coriander", "ground coriander", "tsp", []), (4, "tuna", "tuna", "can", ["fish"]), (5, "ground_beef", "vegan ground beef", "lb", ["meat"]), (6, None, "vegan x", "can", ["meat"]), (7, "tuna", "vegan tuna", None, ["meat"]), (8, "salt", None, None, None)]
+    got = {r.line: r.slug for r in names_of.by_context(spark.createDataFrame(lines, "line int, slug string, name string, unit string, flags array<string>"), rules).collect()}
+    assert got == {1: "cilantro", 2: "cilantro", 3: "coriander", 4: "canned_tuna", 5: "meatless", 6: None, 7: "meatless", 8: "salt"}
 
 
 def test_errors_are_kept(spark):
