@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import staged
+
+
+def ancestors(taxonomy: DataFrame) -> DataFrame:
+    """(slug, ancestor, depth): everything above a slug at whatever depth, each once, at its smallest depth; a slug on a cycle is above itself.
 
-def ancestors(taxonomy: DataFrame, depth: int = 3) -> DataFrame:
-    """(slug, ancestor, depth) for up to `depth` steps up; one join a step, and the tree's depth is small and checked by validation."""
-    edges = taxonomy.where("parent is not null").select("slug", "parent")
-    step = edges.select("slug", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    found = [step]
-    for d in range(2, depth + 1):
-        step = step.select("slug", F.col("ancestor").alias("via")).join(edges.select(F.col("slug").alias("via"), F.col("parent").alias("ancestor")), "via").select("slug", "ancestor", F.lit(d).alias("depth"))
-        found.append(step)
-    return reduce(DataFrame.unionByName, found)
+    Path doubling: with all pairs up to d steps known, those of exactly d steps joined with all give those up to 2 d, each in one way. Rounds are
+    written, so there are as many as the depth has binary digits, and a pair that is known already ends a cycle. Null slugs and parents are no edges.
+    """
+    known = staged(taxonomy.where("slug is not null and parent is not null").select("slug", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct(), "edges")
+    reach = 1
+    while True:
+        first = known.where(F.col("depth") == reach).select("slug", F.col("ancestor").alias("via"))
+        then = known.select(F.col("slug").alias("via"), "ancestor", (F.col("depth") + reach).alias("depth"))
+        new = first.join(then, "via").groupBy("slug", "ancestor").agg(F.min("depth").alias("depth"))
+        new = staged(new.join(known, ["slug", "ancestor"], "left_anti"), "pairs")
+        if new.isEmpty():
+            return known
+        known, reach = known.unionByName(new), 2 * reach
 
 
 def expand_have(given: DataFrame, taxonomy: DataFrame, staples: DataFrame) -> DataFrame:
@@ -32,6 +39,18 @@ def expand_avoid(given: DataFrame, taxonomy: DataFrame) -> DataFrame:
     return given.select("slug", "mode").unionByName(down).groupBy("slug").agg(F.min("mode").alias("mode"))
 
 
-def cycles(taxonomy: DataFrame, depth: int = 16) -> DataFrame:
-    """Slugs that reach themselves within `depth` steps."""
-    return ancestors(taxonomy, depth).where("slug = ancestor").select("slug").distinct()
+def cycles(taxonomy: DataFrame) -> DataFrame:
+    """Slugs that reach themselves."""
+    return ancestors(taxonomy).where("slug = ancestor").select("slug")
+
+
+def dimension(rows: DataFrame, key: str = "slug", parent: str = "parent") -> DataFrame:
+    """The rows of a dimension with `reason` why one cannot be loaded: `no_key`, `duplicate_key` (all rows of the key), `unknown_parent`, `cycle`; null for good rows."""
+    many = rows.groupBy(key).agg(F.count("*").alias("_many"))
+    known = rows.where(F.col(key).isNotNull()).select(F.col(key).alias(parent), F.lit(True).alias("_known")).distinct()
+    round_ = cycles(rows.select(F.col(key).alias("slug"), F.col(parent).alias("parent"))).select(F.col("slug").alias(key), F.lit(True).alias("_round"))
+    met = rows.join(many, key, "left").join(known, parent, "left").join(round_, key, "left")
+    reason = (
+        F.when(F.col(key).isNull(), "no_key").when(F.col("_many") > 1, "duplicate_key").when(F.col(parent).isNotNull() & F.col("_known").isNull(), "unknown_parent").when(F.col("_round"), "cycle")
+    )
+    return met.select(*rows.columns, reason.alias("reason"))

@@ -109,12 +109,12 @@ def _descend(open_: DataFrame, walk: _Walk, size: int, cap: int | None, need: di
 
 
 def constrained_selection(rows: DataFrame, rules: Rules, parts: int = 64) -> DataFrame:
-    """(id, reason, score, cost) of the rows chosen from (id unique, score, group, editorial, capped, cost, and the boolean columns of `rules.mix`).
+    """(id, reason, score, cost, within_budget) of the rows chosen from (id unique, score, group, editorial, capped, cost, and the boolean columns of `rules.mix`).
 
     Reasons, in this order: `editorial` rows all; each group's best rows up to its `floor` (editorial ones count), none below the bar; `score`, the best
     of the rest, guarded so that the mix can still be met; `fill`, the best of what the guard passed over, where rows are lacking. The ceiling of
-    capped rows holds for the last two. Where the costs add up to more than the budget, a smaller size is tried, at most twelve times; editorial and
-    floor rows stay. Null scores stand last, null groups have no floor, null flags are false, null costs 0. All passes are grouped counts over `parts`
+    capped rows holds for the last two. Where the costs add up to more than the budget, smaller sizes are tried until they do not or only editorial
+    and floor rows are left, which stay; `within_budget` says which of both it is (null without a budget). Null scores stand last, null groups have no floor, null flags are false, null costs 0. All passes are grouped counts over `parts`
     ranges of the order; no task and no driver list grows with the table beyond one range.
     """
     false = F.lit(False)
@@ -138,7 +138,8 @@ def constrained_selection(rows: DataFrame, rules: Rules, parts: int = 64) -> Dat
     kept = ranged.where(F.col("reason").isNotNull())
     start = kept.agg(F.count("*").alias("n"), F.count_if("capped").alias("c"), F.sum("cost").alias("cost"), *(F.count_if(k).alias(k) for k in rules.mix)).first()
     open_, size = ranged.where(F.col("reason").isNull()), rules.size
-    for _ in range(12):
+    tries, within = 0, None
+    while True:
         cap = None if rules.ceiling is None else math.floor(rules.ceiling * size)
         need = {k: math.ceil(share * size) for k, share in rules.mix.items()}
         guarded = _Walk(start["n"], start["c"], {k: start[k] for k in rules.mix})
@@ -151,8 +152,9 @@ def constrained_selection(rows: DataFrame, rules: Rules, parts: int = 64) -> Dat
         if rules.budget is None:
             break
         spent, scored = out.agg(F.sum("cost"), F.sum(F.when(F.col("reason").isin("score", "fill"), F.col("cost")))).first()
-        n = fill.taken - start["n"]
-        if (spent or 0) <= rules.budget or n == 0 or not scored:
+        n, within = fill.taken - start["n"], (spent or 0) <= rules.budget
+        if within or n == 0 or not scored:
             break
-        size = max(start["n"], size - math.ceil((spent - rules.budget) / (scored / n)) - 1)
-    return out
+        # What is over the budget in rows of mean cost; doubled from the eighth try on, so that the tries end.
+        size, tries = max(start["n"], min(size, fill.taken) - math.ceil((spent - rules.budget) / (scored / n)) - 1 - (2 ** (tries - 7) if tries > 7 else 0)), tries + 1
+    return out.withColumn("within_budget", F.lit(within).cast("boolean"))

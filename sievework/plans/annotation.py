@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lines as L
 from ..functions import text as X
 from ..operators import annotate as A
+from ..operators import hierarchy
 from .tables import Tables
 
 QUERIES, SQLS = {}, {}
@@ -82,3 +84,20 @@ def licence_markers(spark: SparkSession, folder: str) -> DataFrame:
     """The first marker of a licence in each document, whole words, one phrase blanked."""
     marker = A.first_marker(F.col("text"), _MARKERS, _BLANKED).alias("m")
     return Tables(spark, folder).read("documents").select("doc_id", marker).where("m is not null").select("doc_id", "m.label", "m.marker")
+
+
+@query(None)
+def document_line_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """What the amount grammar reads in each distinct line of the documents; a state machine, so without SQL."""
+    lines = Tables(spark, folder).read("documents").select(F.explode(F.split("text", "\n")).alias("line")).distinct()
+    return lines.select("line", L.parse_line(F.col("line")).alias("p")).select("line", "p.*")
+
+
+@query("""with recursive up(slug, ancestor, depth) as (
+  select c_custkey, c_custkey // 2, 1 from customer where c_custkey > 0 union all select slug, ancestor // 2, depth + 1 from up where ancestor > 0
+) select slug, count(*) as ancestors, max(depth)::int as depth, sum(ancestor)::bigint as total from up where ancestor in (select c_custkey from customer) group by slug""")
+def closure_of_any_depth(spark: SparkSession, folder: str) -> DataFrame:
+    """Each customer's ancestors in the tree in which half a key is the parent: as deep as a key has binary digits."""
+    tree = Tables(spark, folder).read("customer").where("c_custkey > 0").select(F.col("c_custkey").alias("slug"), F.floor(F.col("c_custkey") / 2).alias("parent"))
+    return hierarchy.ancestors(tree).groupBy("slug").agg(F.count("*").alias("ancestors"), F.max("depth").alias("depth"), F.sum("ancestor").alias("total"))
+

@@ -317,9 +317,9 @@ def tumbling_window_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query("select l_orderkey as id, l_linenumber as line, l_quantity + 0.5::double as qty, 'cup' as unit, p_name as name, 'chopped' as prep from lineitem join part on p_partkey = l_partkey")
 def amount_line_parser(spark: SparkSession, folder: str) -> DataFrame:
     """Lines such as `3 1/2 cups red widget (cold), chopped`, written from the tables and read by the parser."""
-    from ..functions.lines import parse_line
+    from ..functions.lines import parse_lines
 
     t = Tables(spark, folder)
     rows = t.read("lineitem").join(t.read("part"), F.col("p_partkey") == F.col("l_partkey"))
     line = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" ½ cups "), F.col("p_name"), F.lit(" (cold), chopped"))
-    return rows.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), parse_line(line).alias("p")).select("id", "line", "p.qty", "p.unit", "p.name", "p.prep")
+    return parse_lines(rows.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), line.alias("written")), "written").select("id", "line", "qty", "unit", "name", "prep")

