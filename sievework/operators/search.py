@@ -19,6 +19,13 @@ def match_all(index: DataFrame, ident: str, terms: list[str]) -> DataFrame:
     return index.where(F.col("term").isin(terms)).groupBy(ident).agg(F.count("*").alias("found"), F.sum("tf").alias("hits")).where(F.col("found") == len(set(terms))).select(ident, "hits")
 
 
+def match_terms(rows: DataFrame, ident: str, text: Column, terms: list[str]) -> DataFrame:
+    """(ident, hits) of the rows whose folded, singular words hold every term, without an index and without a shuffle; idents are unique."""
+    words = rows.select(ident, X.words(X.normalise(text)).alias("words"))
+    held = words.select(ident, F.filter(F.transform("words", X.singular), lambda w: w.isin(*terms)).alias("held"))
+    return held.where(F.size(F.array_distinct("held")) == len(set(terms))).select(ident, F.size("held").cast("long").alias("hits"))
+
+
 def lexicon_tag(rows: DataFrame, ident: str, text: Column, lexicon: DataFrame, longest: int = 3) -> DataFrame:
     """(ident, tag, gram): the longest entry of (gram, tag) in the text, the rightmost of equals."""
     tokens = X.words(X.normalise(text))

@@ -155,6 +155,7 @@ def constrained_selection(rows: DataFrame, rules: Rules, parts: int = 64) -> Dat
         n, within = fill.taken - start["n"], (spent or 0) <= rules.budget
         if within or n == 0 or not scored:
             break
-        # What is over the budget in rows of mean cost; doubled from the eighth try on, so that the tries end.
-        size, tries = max(start["n"], min(size, fill.taken) - math.ceil((spent - rules.budget) / (scored / n)) - 1 - (2 ** (tries - 7) if tries > 7 else 0)), tries + 1
+        # What is over the budget in rows of mean cost; from the twelfth try on twice as much more each time, so that the tries end.
+        tries += 1
+        size = max(start["n"], size - math.ceil((spent - rules.budget) / (scored / n)) - 1 - (2**tries if tries > 11 else 0))
     return out.withColumn("within_budget", F.lit(within).cast("boolean"))

@@ -1,4 +1,4 @@
-"""Queries of dictionary annotation, name resolution and markers, over the texts as they are."""
+"""Queries of dictionary annotation, name resolution, markers, amount lines, trees and the stored text index, over the tables as they are."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import lines as L
 from ..functions import text as X
 from ..operators import annotate as A
-from ..operators import hierarchy
+from ..operators import hierarchy, textindex
+from ..streaming.ingest import working_dir
 from .tables import Tables
 
 QUERIES, SQLS = {}, {}
@@ -101,3 +102,31 @@ def closure_of_any_depth(spark: SparkSession, folder: str) -> DataFrame:
     tree = Tables(spark, folder).read("customer").where("c_custkey > 0").select(F.col("c_custkey").alias("slug"), F.floor(F.col("c_custkey") / 2).alias("parent"))
     return hierarchy.ancestors(tree).groupBy("slug").agg(F.count("*").alias("ancestors"), F.max("depth").alias("depth"), F.sum("ancestor").alias("total"))
 
+
+
+def _forms(word: str) -> str:
+    """The words of the tables that have a short word's stem."""
+    return "(" + ", ".join(f"'{word}{end}'" for end in ("", "s", "ed", "eds", "ing", "ings")) + ")"
+
+
+def _text_index(spark: SparkSession, folder: str) -> str:
+    """Builds the index of the documents' texts and sources; where it lies."""
+    path = f"{working_dir(spark)}/text-index"
+    textindex.build(Tables(spark, folder).read("documents"), "doc_id", {"text": F.col("text"), "source": F.col("source")}, path)
+    return path
+
+
+_WORDS = f"words as (select doc_id, string_split({folded_sql('text')}, ' ') as w from documents)"
+
+
+@query(f"""with {_WORDS}, n as (select doc_id, len(list_filter(w, lambda x: x in {_forms("und")}))::bigint as a, len(list_filter(w, lambda x: x in {_forms("mit")}))::bigint as b from words)
+select doc_id, a + b as hits from n where a > 0 and b > 0""")
+def text_index_match(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold two words by stem, from the buckets of these words alone."""
+    return textindex.match(spark, _text_index(spark, folder), "mit UND", ["text"]).withColumnRenamed("id", "doc_id")
+
+
+@query(f"""with {_WORDS}, n as (select doc_id, len(list_filter(list_zip(w, w[2:]), lambda x: x[1] in {_forms("de")} and coalesce(x[2], '') in {_forms("la")}))::bigint as hits from words) select doc_id, hits from n where hits > 0""")
+def text_index_phrase(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with two words, by stem, one after the other, from their positions."""
+    return textindex.match(spark, _text_index(spark, folder), "de la", ["text"], phrase=True).withColumnRenamed("id", "doc_id")

@@ -160,7 +160,7 @@ def unit_conversion_fraction(spark: SparkSession, folder: str) -> DataFrame:
 select doc_id, hits from (select doc_id, len(list_filter(t, lambda x: x in ('the', 'thes')))::bigint as a, len(list_filter(t, lambda x: x in ('and', 'ands')))::bigint as b, a + b as hits from w) where a > 0 and b > 0""")
 def fts_match_terms(spark: SparkSession, folder: str) -> DataFrame:
     docs = Tables(spark, folder).read("documents")
-    return search.match_all(search.inverted_index(docs, "doc_id", F.col("text")), "doc_id", ["the", "and"])
+    return search.match_terms(docs, "doc_id", F.col("text"), ["the", "and"])
 
 
 @query("select o_orderpriority as course, count(*) as n, count(*) filter (where o_orderstatus <> 'P') as filled, round(count(*) filter (where o_orderstatus <> 'P') / count(*)::double, 6) as rate from orders group by 1")

@@ -1,5 +1,6 @@
 """The constrained selection against a loop down the scores, over random pools of every kind."""
 
+import itertools
 import math
 import os
 import random
@@ -28,7 +29,7 @@ def _loop(pool, rules, at={"veg": 6, "main": 7}):
     scores = sorted((r[1] for r in pool if r[1] is not None), reverse=True)
     bar = scores[int((1 - rules.bar) * (len(scores) - 1))] if rules.bar is not None and scores else None
     size = rules.size
-    for _ in range(12):
+    for tries in itertools.count(1):
         why = {r[0]: "editorial" for r in pool if r[3]}
         for g in {r[2] for r in pool} - {None}:
             short = rules.floor - sum(1 for r in pool if r[3] and r[2] == g)
@@ -50,7 +51,7 @@ def _loop(pool, rules, at={"veg": 6, "main": 7}):
         scored = cost(r for r in pool if why.get(r[0]) in ("score", "fill"))
         if rules.budget is None or spent <= rules.budget or not scored:
             break
-        size = max(first, size - math.ceil((spent - rules.budget) / (scored / (len(why) - first))) - 1)
+        size = max(first, size - math.ceil((spent - rules.budget) / (scored / (len(why) - first))) - 1 - (2**tries if tries > 11 else 0))
     return why
 
 
@@ -66,6 +67,16 @@ def test_constrained_selection_is_the_loop(spark, seed, n, rules):
     got = constrained_selection(spark.createDataFrame(pool, SCHEMA), rules, parts=5).collect()
     assert {r["id"]: r["reason"] for r in got} == _loop(pool, rules)
     assert len(got) == len({r["id"] for r in got})
+    within = None if rules.budget is None else sum(r["cost"] for r in got) <= rules.budget
+    assert {r["within_budget"] for r in got} <= {within}
+
+
+@pytest.mark.parametrize(("budget", "within"), [(40.0, True), (2.0, False), (10_000.0, True)])
+def test_the_budget_is_kept_or_said_to_be_exceeded(spark, budget, within):
+    """Costs fall with the score, so that a mean cost tells too little of what a smaller size saves."""
+    pool = [(i, float(i), "a", i == 0, False, 5.0 if i == 0 else 0.1 + 20.0 / (1 + i), False, False) for i in range(120)]
+    got = constrained_selection(spark.createDataFrame(pool, SCHEMA), Rules(size=100, budget=budget), parts=4).collect()
+    assert {r["within_budget"] for r in got} == {within} and (sum(r["cost"] for r in got) <= budget) == within
 
 
 def test_select_constrained_is_the_loop(spark):
