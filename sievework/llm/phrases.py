@@ -41,6 +41,10 @@ SHARD = "shard long, lang string, n_words long, codes binary, joined binary, voc
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 
 
+#: Parts of a language whose best phrases are taken before the last ranking.
+PARTS = 64
+
+
 def _tokenised(raw: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Word codes, whether a word and the next stand in one piece, and the words by code."""
     b = np.frombuffer(raw.translate(_TABLE), np.uint8)
@@ -213,7 +217,8 @@ def collocations(docs: DataFrame, support: int = 10, longest: int = 3, inside: i
     """The best phrases of each language: lang, rank, phrase, a, l, r, n, score.
 
     A phrase scores by its worst cut; one that stands inside a longer frequent
-    phrase of at least `inside` hundredths of its count is dropped.
+    phrase of at least `inside` hundredths of its count is dropped. The last ranking
+    of a language sees the best `top` of each of its PARTS parts only.
     """
     levels, totals = frequent_phrases(docs, support, longest, shard_bytes)
     kept = []
@@ -227,8 +232,10 @@ def collocations(docs: DataFrame, support: int = 10, longest: int = 3, inside: i
     rows = kept[0]
     for more in kept[1:]:
         rows = rows.unionByName(more)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    best = rows.withColumn("rank", place).where(F.col("rank") <= top)
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))  # so that no task ranks a whole language
+    near = dealt.withColumn("near", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("near") <= top).drop("near", "part")
+    best = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
