@@ -8,26 +8,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import staged
 
-def running(rows: DataFrame, order: str, *keys: str, weight: str | None = None, parts: int = 64) -> DataFrame:
-    """Adds `rank`, the sum of `weight` (else 1 a row) up to each row in order of a number and keys, and `all`, that of all rows.
-
-    In two levels: sums inside `parts` ranges of the number, and those of the ranges before. No task sorts the whole table; a range holds what lies
-    between two quantiles, so only equal values of the number must share one.
-    """
-    bounds = sorted(set(rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.2 / parts)))
-    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order))) if bounds else F.lit(0)
-    dealt, each = rows.withColumn("range", at), F.col(weight) if weight else F.lit(1)
-    ranges = dealt.groupBy("range").agg(F.sum(each).alias("held"))  # at most `parts` rows
-    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    before = ranges.select("range", F.coalesce(F.sum("held").over(upto), F.lit(0)).alias("before"), F.sum("held").over(Window.partitionBy()).alias("all"))
-    inside = F.sum(each).over(Window.partitionBy("range").orderBy(order, *keys).rowsBetween(Window.unboundedPreceding, 0))
-    return dealt.withColumn("inside", inside).join(F.broadcast(before), "range").withColumn("rank", F.col("inside") + F.col("before")).drop("range", "inside", "before")
 
+def running(rows: DataFrame, order: str, *keys: str, weight: str | None = None, by: str | None = None) -> DataFrame:
+    """Adds `rank`, the sum of `weight` (else 1 a row) up to each row in order of a number and keys, and `all`, that of all rows; within each value of `by`.
 
-def ranked(rows: DataFrame, order: str, key: str, parts: int = 64) -> DataFrame:
+    In two levels: sums inside ranges of (by, number, keys), of which the session's shuffle partitions say how many, and those of the ranges before. No
+    task sorts the whole table or a whole group. Null numbers stand last, and so do null keys; a null `by` is a group of its own.
+    """
+    each = F.col(weight) if weight else F.lit(1)
+    place = [F.col(c).asc_nulls_last() for c in (order, *keys)]
+    group = F.struct(F.lit(0) if by is None else F.col(by)).alias("_by")
+    dealt = staged(rows.withColumn("_by", group).repartitionByRange("_by", *place).withColumn("_range", F.spark_partition_id()), "ranges")
+    held = dealt.groupBy("_by", "_range").agg(F.sum(each).alias("_held"))
+    upto = Window.partitionBy("_by").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.select("_by", "_range", F.coalesce(F.sum("_held").over(upto), F.lit(0)).alias("_before"), F.sum("_held").over(Window.partitionBy("_by")).alias("all"))
+    inside = F.sum(each).over(Window.partitionBy("_by", "_range").orderBy(*place).rowsBetween(Window.unboundedPreceding, 0))
+    out = dealt.withColumn("_inside", inside).join(before, ["_by", "_range"])
+    return out.withColumn("rank", F.col("_inside") + F.col("_before")).drop("_by", "_range", "_inside", "_before")
+
+
+def ranked(rows: DataFrame, order: str, key: str) -> DataFrame:
     """Adds `rank`, from 1, by a number and a unique key."""
-    return running(rows, order, key, parts=parts).drop("all")
+    return running(rows, order, key).drop("all")
 
 
 def bands(rank: Column, n: Column, share: float = 0.05) -> Column:

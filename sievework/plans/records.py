@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tagging as G
+from ..operators.calibrate import medians
 from ..operators.routing import mark_duplicates
 from .tables import Tables
 
@@ -65,7 +66,7 @@ select course, any_value(prior) as prior, count(*) as n, count(*) filter (where
 def calibrated_priors(spark: SparkSession, folder: str) -> DataFrame:
     """Medians fitted on one half, hits counted on the other."""
     rows = Tables(spark, folder).items().select("id", "course", "quality")
-    prior = rows.where("id % 2 = 0").groupBy("course").agg(F.median("quality").alias("prior"))
+    prior = medians(rows.where("id % 2 = 0"), "course", "quality").withColumnRenamed("median", "prior")
     held = rows.where("id % 2 = 1").join(F.broadcast(prior), "course")
     return held.groupBy("course").agg(F.first("prior").alias("prior"), F.count("*").alias("n"), F.count_if(F.col("quality").between(F.col("prior") * 0.5, F.col("prior") * 1.5)).alias("hits"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import bayes, search, units
+from ..operators.calibrate import medians
 from ..operators.matching import best_swap
 from ..operators.selection import Rules, constrained_selection, guarded_selection
 from .tables import SQL, Tables
@@ -228,7 +229,7 @@ select o_orderkey as id, greatest(1, least(400000, case when o_totalprice > prio
 def soft_threshold_estimate(spark: SparkSession, folder: str) -> DataFrame:
     """Medians a class as priors, values softened towards them, clamped."""
     items = Tables(spark, folder).items().select("id", "course", "quality")
-    prior = items.groupBy("course").agg(F.median("quality").alias("prior"))
+    prior = medians(items, "course", "quality").withColumnRenamed("median", "prior")
     value = units.soften(F.col("quality"), F.col("prior"), 1.5)
     return items.join(F.broadcast(prior), "course").select("id", F.greatest(F.lit(1.0), F.least(F.lit(400000.0), value)).alias("estimate"))
 
