@@ -2,20 +2,48 @@
 
 from __future__ import annotations
 
+import unicodedata
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with marks, and what they become without.
-MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _folded() -> tuple[dict[str, str], dict[str, str]]:
+    """Small letters and signs that Unicode's compatibility decomposition turns into one ASCII sign, marks aside, and those that it turns into several."""
+    one: dict[str, str] = {}
+    more: dict[str, str] = {}
+    for point in range(0x80, 0x10000):
+        ch = chr(point)
+        if 0xD800 <= point < 0xE000 or ch.lower() != ch:
+            continue
+        plain = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x)).replace("\u2044", "/").lower()
+        if plain and plain != ch and plain.isascii():
+            (one if len(plain) == 1 else more)[ch] = plain
+    return one, more
+
+
+_ONE, SPREAD = _folded()
+MARKED, PLAIN = "".join(_ONE), "".join(_ONE.values())
+_RARE = "[\\p{Mn}" + "".join(SPREAD) + "]"
+# The small letters with marks of Latin-1, and what they become without; for the SQL that checks queries.
+LATIN, LATIN_PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 # Named entities: those of Latin-1, punctuation, signs and Greek, from the standard library; a hard space is a plain one.
 ENTITIES = {name: chr(point) for name, point in name2codepoint.items()} | {"nbsp": " ", "apos": "'"}
 
 
+def fold(low: Column) -> Column:
+    """Small letters in compatibility decomposition without combining marks, as far as that is ASCII."""
+    x = F.translate(low, MARKED, PLAIN)
+    spread = F.create_map(*(F.lit(v) for pair in SPREAD.items() for v in pair))
+    split = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(spread, c), c)), "")
+    return F.when(x.rlike(_RARE), F.regexp_replace(split, r"\p{Mn}+", "")).otherwise(x)
+
+
 def normalise(text: Column) -> Column:
-    """Lower case without marks; `&` becomes `and`, apostrophes go, other punctuation becomes a space; single spaces."""
-    x = F.translate(F.lower(text), MARKED, PLAIN)
+    """Lower case in Unicode's compatibility decomposition without marks; `&` becomes `and`, apostrophes go, other punctuation becomes a space; single spaces."""
+    x = fold(F.lower(text))
     x = F.regexp_replace(F.replace(x, F.lit("&"), F.lit(" and ")), "['’]", "")
     return F.trim(F.regexp_replace(F.regexp_replace(x, "[^a-z0-9]+", " "), " +", " "))
 

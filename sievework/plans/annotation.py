@@ -25,7 +25,7 @@ def query(sql: str | None):
 
 def folded_sql(c: str) -> str:
     """`text.normalise` in the check's SQL."""
-    return f"trim(regexp_replace(regexp_replace(regexp_replace(replace(translate(lower({c}), '{X.MARKED}', '{X.PLAIN}'), '&', ' and '), '[''’]', '', 'g'), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g'))"
+    return f"trim(regexp_replace(regexp_replace(regexp_replace(replace(translate(lower({c}), '{X.LATIN}', '{X.LATIN_PLAIN}'), '&', ' and '), '[''’]', '', 'g'), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g'))"
 
 
 #: The first two to eight words of each benchmark item, as the check's SQL.

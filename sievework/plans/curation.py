@@ -128,7 +128,7 @@ def quota_sample_equal_share(spark: SparkSession, folder: str) -> DataFrame:
     return S.top_per(rows, ["lang"], [F.asc("doc_id")], level).groupBy("lang").agg(F.count("*").alias("taken"))
 
 
-_NORM = f"trim(regexp_replace(regexp_replace(regexp_replace(replace(translate(lower(string_split(text, chr(10))[1]), '{X.MARKED}', '{X.PLAIN}'), '&', ' and '), '[''’]', '', 'g'), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g'))"
+_NORM = f"trim(regexp_replace(regexp_replace(regexp_replace(replace(translate(lower(string_split(text, chr(10))[1]), '{X.LATIN}', '{X.LATIN_PLAIN}'), '&', ' and '), '[''’]', '', 'g'), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g'))"
 
 
 def _titled(t: Tables) -> DataFrame:
