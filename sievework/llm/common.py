@@ -59,9 +59,9 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def text_bytes(docs: DataFrame) -> int:
-    """UTF-8 bytes of all texts; decides how many buckets the data is dealt into."""
-    return docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+def text_bytes(docs: DataFrame, row: int = 0) -> int:
+    """UTF-8 bytes of all texts and `row` more for each row, null and empty texts included; decides how many buckets the data is dealt into."""
+    return docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + row)).head()[0] or 0
 
 
 _ONE, _MUL = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)

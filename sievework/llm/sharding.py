@@ -47,10 +47,10 @@ def shard_documents(docs: DataFrame, shards: int = 40, seed: int = 17, bucket_by
 
     Rows: doc_id, text, size, text_crc32, shard, grown_shard, bucket, pos. The
     files of a shard lie in its own shard=N folder. A bucket holds about
-    bucket_bytes of text whatever the input's size.
+    bucket_bytes of text and of 16 bytes a row, whatever the input's size.
     """
     spark = docs.sparkSession
-    buckets = max(1, math.ceil(text_bytes(docs) / (shards * bucket_bytes)))
+    buckets = max(1, math.ceil(text_bytes(docs, 16) / (shards * bucket_bytes)))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     draw = lambda s: F.xxhash64(key, s, F.lit(seed))
     best = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.struct(draw(s).alias("h"), s.alias("s"))))
