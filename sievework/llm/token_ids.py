@@ -5,7 +5,8 @@ Documents are dealt into ranges of doc_id and the text's front, so rows that
 share an id are split by text. Each range is sorted, encoded and written as one
 flat file of ids, one of the documents' ends inside it and one of the doc_ids,
 of which the first n_null stand for null. The number of ids before a range is a prefix sum over the
-ranges' totals; with it, every range gets a file of absolute 64-bit offsets.
+ranges' totals; with it, a second pass gives every range a file of absolute
+64-bit offsets, so that what is written can be read by anybody.
 Files are written under a name of the attempt and then listed, so a lost or
 repeated task leaves only files that no list names.
 
@@ -74,18 +75,29 @@ def _mapped(where: fs.FileSystem, path: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
-def _read_part(path: str, tokenizer: str):
-    def rows(batches):
-        kind = _id_type(tokenizer)
+def _write_offsets(path: str):
+    """The absolute 64-bit offsets of each listed part, beside its other files; a repeated task writes the same."""
+    def written(batches):
         where, base = fs.FileSystem.from_uri(path)
         for batch in batches:
             for row in batch.to_pylist():
                 stem = f"{base}/{row['name']}"
-                ends = _mapped(where, f"{stem}.ends", "<i8")
                 made = f"{stem}.{uuid.uuid4().hex}"
                 with where.open_output_stream(made) as out:
-                    out.write((np.concatenate([[0], ends]) + row["base"]).astype("<i8").tobytes())
+                    out.write((np.concatenate([[0], _mapped(where, f"{stem}.ends", "<i8")]) + row["base"]).astype("<i8").tobytes())
                 where.move(made, f"{stem}.offsets")
+            yield batch
+
+    return written
+
+
+def _read_part(path: str, tokenizer: str):
+    def rows(batches):
+        kind = _id_type(tokenizer)
+        where, base = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for row in batch.to_pylist():
+                stem = f"{base}/{row['name']}"
                 ids, docs = _mapped(where, f"{stem}.ids", kind), _mapped(where, f"{stem}.docs", "<i8")
                 offsets = _mapped(where, f"{stem}.offsets", "<i8")
                 for lo in range(0, len(docs), 20_000):
@@ -101,15 +113,17 @@ def write_token_ids(docs: DataFrame, tokenizer: str, end_id: int, part_bytes: in
     """Writes the flat files; returns (one row a part: part, name, n_docs, n_null, n_ids, base) and their folder."""
     spark = docs.sparkSession
     path = fresh_path(spark, "token-ids")
-    parts = max(spark.sparkContext.defaultParallelism, math.ceil(text_bytes(docs) / part_bytes))
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(text_bytes(docs, 16) / part_bytes))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id", F.substring("text", 1, FRONT)).sortWithinPartitions("doc_id", "text")
     listed = materialize(ordered.mapInArrow(_write_part(path, tokenizer, end_id), _PART), "token-parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return listed.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), path
+    placed = listed.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    n = max(2 * spark.sparkContext.defaultParallelism, 1)
+    return materialize(placed.repartition(n, "part").mapInArrow(_write_offsets(path), placed.schema), "token-offsets"), path
 
 
 def read_token_ids(parts: DataFrame, path: str, tokenizer: str) -> DataFrame:
-    """Maps the files and gives each document's doc_id, start, n_tokens and ids_crc32; writes the absolute offsets."""
+    """Maps the files and gives each document's doc_id, start, n_tokens and ids_crc32."""
     n = max(2 * parts.sparkSession.sparkContext.defaultParallelism, 1)
     return parts.repartition(n, "part").mapInArrow(_read_part(path, tokenizer), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
