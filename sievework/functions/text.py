@@ -65,6 +65,10 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.struct((i - 1).alias("at"), F.array_join(F.slice(tokens, i, n), " ").alias("gram"))))
 
 
+#: Entities that most pages keep to; texts without others are decoded by plain replacement.
+_COMMON = ("lt", "gt", "quot", "nbsp", "copy", "middot", "apos")
+
+
 def unescape(text: Column) -> Column:
     """Named, decimal and hexadecimal entities as their characters, each once; unknown ones stay."""
     names = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
@@ -76,9 +80,13 @@ def unescape(text: Column) -> Column:
         char = F.when(real, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
         return F.coalesce(F.concat(F.coalesce(F.try_element_at(names, ref), char), F.substr(part, F.length(ref) + 2)), F.concat(F.lit("&"), part))
 
+    plain = text
+    for name in (*_COMMON, "amp"):  # `amp` last, so that nothing is decoded twice
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(ENTITIES[name]))
     parts = F.split(text, "&")
     decoded = F.concat(F.slice(parts, 1, 1), F.transform(F.slice(parts, F.lit(2), F.size(parts)), one))
-    return F.when(F.contains(text, F.lit("&")), F.array_join(decoded, "")).otherwise(text)
+    rare = text.rlike(rf"&(?!(?:{'|'.join(_COMMON)}|amp);)")
+    return F.when(~F.contains(text, F.lit("&")), text).when(~rare, plain).otherwise(F.array_join(decoded, ""))
 
 
 def html_to_text(html: Column) -> Column:
