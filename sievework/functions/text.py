@@ -26,26 +26,26 @@ def _folded() -> tuple[dict[str, str], dict[str, str]]:
 
 _ONE, SPREAD = _folded()
 MARKED, PLAIN = "".join(_ONE), "".join(_ONE.values())
-_RARE = "[\\p{Mn}" + "".join(SPREAD) + "]"
+# Signs that a table of single letters is enough for, or that have no such decomposition: ASCII, Latin letters, common punctuation, kana, Han and Hangul; other texts are folded sign by sign.
+_RARE = r"[^\x00-\x7f\x{a1}-\x{bb}\x{bf}-\x{12f}\x{131}\x{134}-\x{13e}\x{141}-\x{148}\x{14a}-\x{17e}\x{2010}-\x{2027}\x{20ac}\x{3041}-\x{30fe}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}]"
 # The small letters with marks of Latin-1, and what they become without; for the SQL that checks queries.
 LATIN, LATIN_PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 # Named entities: those of Latin-1, punctuation, signs and Greek, from the standard library; a hard space is a plain one.
 ENTITIES = {name: chr(point) for name, point in name2codepoint.items()} | {"nbsp": " ", "apos": "'"}
 
 
-def fold(low: Column) -> Column:
-    """Small letters in compatibility decomposition without combining marks, as far as that is ASCII."""
-    x = F.translate(low, MARKED, PLAIN)
+def fold(text: Column) -> Column:
+    """Small letters in compatibility decomposition without combining marks, as far as that is ASCII, and without apostrophes."""
+    plain = F.translate(F.lower(text), MARKED + "'’", PLAIN)  # what has no counterpart goes
     spread = F.create_map(*(F.lit(v) for pair in SPREAD.items() for v in pair))
-    split = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(spread, c), c)), "")
-    return F.when(x.rlike(_RARE), F.regexp_replace(split, r"\p{Mn}+", "")).otherwise(x)
+    split = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(spread, c), c)), "")
+    return F.when(text.rlike(_RARE), F.regexp_replace(split, r"\p{Mn}+", "")).otherwise(plain)
 
 
 def normalise(text: Column) -> Column:
     """Lower case in Unicode's compatibility decomposition without marks; `&` becomes `and`, apostrophes go, other punctuation becomes a space; single spaces."""
-    x = fold(F.lower(text))
-    x = F.regexp_replace(F.replace(x, F.lit("&"), F.lit(" and ")), "['’]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(x, "[^a-z0-9]+", " "), " +", " "))
+    x = fold(text)
+    return F.trim(F.regexp_replace(F.replace(x, F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " "))
 
 
 def singular(word: Column) -> Column:

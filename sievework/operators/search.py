@@ -21,8 +21,10 @@ def match_all(index: DataFrame, ident: str, terms: list[str]) -> DataFrame:
 
 def match_terms(rows: DataFrame, ident: str, text: Column, terms: list[str]) -> DataFrame:
     """(ident, hits) of the rows whose folded, singular words hold every term, without an index and without a shuffle; idents are unique."""
-    words = rows.select(ident, X.words(X.normalise(text)).alias("words"))
-    held = words.select(ident, F.filter(F.transform("words", X.singular), lambda w: w.isin(*terms)).alias("held"))
+    written = {t + end for t in terms for end in ("", "s", "es")} | {t[:-1] + "ies" for t in terms if t.endswith("y")}  # what may become a term
+    words = rows.select(ident, F.split(X.normalise(text), " ").alias("words"))
+    near = words.select(ident, F.filter("words", lambda w: w.isin(*written)).alias("near"))
+    held = near.select(ident, F.filter(F.transform("near", X.singular), lambda w: w.isin(*terms)).alias("held"))
     return held.where(F.size(F.array_distinct("held")) == len(set(terms))).select(ident, F.size("held").cast("long").alias("hits"))
 
 
