@@ -351,8 +351,9 @@ def _named(out: dict, rest: str, notes: list[str]) -> dict:
             (preps if _is_prep(part) else notes).append(part)
     name = re.sub(r"(?i)^of\s+|\s*\b(?:to|for) (?:taste|garnish|serving)\b|\s*\bas needed\b|\s*\boptional\b", "", name).strip(" .-")
     first, either, second = name.partition(" or ")
-    if either and len(first.split()) == 1 and len(second.split()) > 1 and out["qty"] is not None:
-        name, notes = " ".join([first, *second.split()[1:]]), [*notes, f"or {second}"]  # "red or green apples" share the head
+    if either:  # of alternatives the first is the name; "red or green apples" share the head
+        shared = second.split()[1:] if len(first.split()) == 1 else []
+        name, notes = " ".join([first, *shared]), [*notes, f"or {second}"]
     if out["unit"] is None and out["qty"] is not None:
         words = name.split()
         for i in range(1, len(words)):

@@ -111,7 +111,8 @@ def test_units(spark):
 
 
 def test_amount_lines():
-    assert parse("1 1/2 cups flour, sifted") == {"qty": 1.5, "qty_max": None, "unit": "cup", "name": "flour", "prep": "sifted", "optional": False}
+    told = {"qty": 1.5, "qty_max": None, "unit": "cup", "name": "flour", "prep": "sifted", "optional": False}
+    assert parse("1 1/2 cups flour, sifted") == told | dict.fromkeys(("pack_qty", "pack_max", "pack_unit", "size", "note"))
     assert parse("2-3 tbsp oil (optional)")["qty_max"] == 3.0
     assert parse("½ lb. of beef")["qty"] == 0.5 and parse("½ lb. of beef")["name"] == "beef"
     assert parse("salt to taste")["qty"] is None and parse("salt to taste")["optional"]
@@ -161,7 +162,8 @@ def test_a_second_run_takes_in_only_new_files(spark, tmp_path):
 def test_amounts_added_and_alternatives():
     assert abs(parse("1 cup plus 2 tbsp milk")["qty"] - (1 + 2 * 14.7868 / 236.588)) < 1e-9 and parse("1 cup plus 2 tbsp milk")["name"] == "milk"
     assert parse("1 cup plus 2 g milk")["qty"] == 1.0
-    assert parse("2 red or green apples, cored") == {"qty": 2.0, "qty_max": None, "unit": None, "name": "red apples", "prep": "cored", "optional": False}
+    told = {"qty": 2.0, "qty_max": None, "unit": None, "name": "red apples", "prep": "cored", "optional": False, "note": "or green apples"}
+    assert parse("2 red or green apples, cored") == told | dict.fromkeys(("pack_qty", "pack_max", "pack_unit", "size"))
     assert parse("butter or oil")["name"] == "butter"
 
 

@@ -56,8 +56,8 @@ def test_running_sums_and_ranks_against_a_sort(spark):
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "id long, v double")
     want = {i: n for n, (_, i) in enumerate(sorted((v, i) for i, v in rows), 1)}
-    assert {r.id: r.rank for r in records.ranked(df, "v", "id", parts=8).collect()} == want
-    out = {r.v: (r.rank, r["all"]) for r in records.running(df.groupBy("v").count(), "v", weight="count", parts=5).collect()}
+    assert {r.id: r.rank for r in records.ranked(df, "v", "id").collect()} == want
+    out = {r.v: (r.rank, r["all"]) for r in records.running(df.groupBy("v").count(), "v", weight="count").collect()}
     assert out == {v: (sum(w <= v for _, w in rows), len(rows)) for _, v in rows}
     assert records.ranked(spark.createDataFrame([], "id long, v double"), "v", "id").count() == 0
 
