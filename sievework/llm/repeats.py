@@ -9,14 +9,14 @@ falls into runs of windows with one fingerprint.
 1. Each block sends its distinct fingerprints, as sorted and packed lists, to
    their ranges; a range answers each list with bits: is the fingerprint in
    more than one document, and is it in very many different runs?
-2. Each block sends the text of its repeated runs, each distinct one once, to
-   the fingerprints' buckets. There, equal runs become one string with the
+2. Each load of a few blocks sends the text of its repeated runs, each distinct
+   one once, to the fingerprints' buckets. There, equal runs become one string with the
    smallest doc_id that holds it, and a matcher (an FM-index or a merge of
    Burrows-Wheeler transforms) says which windows of a string are also in a
    string with a smaller doc_id. Runs of a fingerprint with very many
    different texts are sent window by window, keyed by the window's own hash,
    so no bucket holds an unbounded group.
-3. Each block gets the windows found in its documents.
+3. What is found comes back to each load, which parts it among its blocks.
 
 No step drops, caps or samples anything, and no document goes to one task with
 its copies.
@@ -38,6 +38,8 @@ from .common import gather_ranges, mix, pack_planes, pack_sorted, sliding, span_
 
 #: Windows of a run; what repeats itself over and over is cut into runs of this length.
 LONGEST = 128
+#: Blocks that send their runs together; rows between blocks and buckets are fewer by that factor.
+LOAD = 8
 
 
 class Bytes:
@@ -50,8 +52,11 @@ class Bytes:
     def unpack(raw: bytes, lengths: np.ndarray) -> np.ndarray:
         return np.frombuffer(raw, np.uint8)
 
-    def pack(self, starts: np.ndarray, lengths: np.ndarray) -> bytes:
-        return self.symbols[gather_ranges(starts, lengths)].tobytes()
+    @staticmethod
+    def pack(views: list[Bytes]) -> Callable[[np.ndarray, np.ndarray], bytes]:
+        """Packs ranges of the symbols of several views, which count as lying one after the other."""
+        symbols = np.concatenate([v.symbols for v in views])
+        return lambda starts, lengths: symbols[gather_ranges(starts, lengths)].tobytes()
 
 
 def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,13 +85,23 @@ class Words:
         starts, ends = word_spans(data, np.array([0, len(data)]))
         return span_hashes(data, starts, ends)
 
-    def pack(self, starts: np.ndarray, lengths: np.ndarray) -> bytes:
-        word = gather_ranges(starts, lengths)
-        size = self.ends[word] - self.starts[word]
-        out = np.full(int(size.sum()) + len(word), 32, np.uint8)
-        to = np.cumsum(size + 1) - size - 1
-        out[gather_ranges(to, size)] = self.block.bytes[gather_ranges(self.starts[word], size)]
-        return out.tobytes()
+    @staticmethod
+    def pack(views: list[Words]) -> Callable[[np.ndarray, np.ndarray], bytes]:
+        """Packs ranges of the words of several views, which count as lying one after the other."""
+        raw = np.concatenate([v.block.bytes for v in views])
+        base = np.cumsum([0, *(len(v.block.bytes) for v in views)])
+        begin = np.concatenate([v.starts + b for v, b in zip(views, base, strict=False)])
+        long = np.concatenate([v.ends - v.starts for v in views])
+
+        def packed(starts: np.ndarray, lengths: np.ndarray) -> bytes:
+            word = gather_ranges(starts, lengths)
+            size = long[word]
+            out = np.full(int(size.sum()) + len(word), 32, np.uint8)
+            to = np.cumsum(size + 1) - size - 1
+            out[gather_ranges(to, size)] = raw[gather_ranges(begin[word], size)]
+            return out.tobytes()
+
+        return packed
 
 
 class Runs:
@@ -111,7 +126,8 @@ class Runs:
         step = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * LONGEST
         self.starts = np.repeat(starts, parts) + step
         self.ends = self.starts + np.minimum(np.repeat(size, parts) - step, LONGEST)
-        self.prints, self.docs = lows[self.starts], doc[self.starts]
+        # The smallest of many hashes is a small number; scrambled one to one, fingerprints fill ranges and buckets evenly.
+        self.prints, self.docs = mix(lows[self.starts]), doc[self.starts]
         self.width = width
 
     def one_by_one(self, which: np.ndarray, view) -> None:
@@ -179,41 +195,65 @@ def _answer_prints(many: int):
     return answered
 
 
+def _repeated_runs(view_of, k: int, width: int, row: dict):
+    """A block's view, and those of its runs whose fingerprint is repeated."""
+    view = view_of(Block(row))
+    runs = Runs(view, k, width)
+    distinct, back = np.unique(runs.prints, return_inverse=True)
+    bits = [np.unpackbits(np.frombuffer(unsqueeze(a["answer"]), np.uint8))[: 2 * a["n"]].reshape(-1, 2) for a in sorted(row["answers"], key=lambda a: a["part"])]
+    answer = np.concatenate(bits)[back].astype(bool)
+    crowded, repeated = answer[:, 0], answer[:, 1]
+    for name in ("starts", "ends", "prints", "docs"):
+        setattr(runs, name, getattr(runs, name)[repeated])
+    if crowded.any():
+        runs.one_by_one(crowded[repeated], view)
+    return view, runs
+
+
+def _send_load(load: list, width: int, buckets: int) -> pa.RecordBatch:
+    views, all_runs = zip(*load, strict=True)
+    pack = type(views[0]).pack(views)
+    text = np.concatenate([r.texts(v) for v, r in load])
+    order = np.lexsort((text, np.concatenate([r.prints for r in all_runs])))
+    of = lambda what: np.concatenate([what(v, r) for v, r in load])[order]
+    prints, text, windows, starts, ids = of(lambda v, r: r.prints), text[order], of(lambda v, r: r.ends - r.starts), of(lambda v, r: r.starts - v.offsets[r.docs]), of(lambda v, r: v.block.ids[r.docs])
+    # A document is named by its block's place in the load and its own in the block.
+    each = [len(r.docs) for r in all_runs]
+    docs = of(lambda v, r: r.docs) + (np.repeat(np.arange(len(load)), each)[order] << 32)
+    at_symbol = of(lambda v, r: r.starts) + np.repeat(np.cumsum([0, *(len(v.symbols) for v in views[:-1])]), each)[order]
+    new = np.concatenate([[True], (prints[1:] != prints[:-1]) | (text[1:] != text[:-1])])
+    at = _range_of(prints, buckets)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]])
+    blocks = np.array([v.block.number for v in views], np.int64)
+    out: dict[str, list] = {n: [] for n in ("bucket", "load", "blocks", "prints", "windows", "texts", "string", "docs", "starts", "ids")}
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        mine = np.flatnonzero(new[a:b]) + a
+        out["bucket"].append(int(at[a]))
+        out["load"].append(int(blocks[0]))
+        out["blocks"].append(blocks.tobytes())
+        out["prints"].append(pack_sorted(prints[mine]))
+        out["windows"].append(pack_planes(windows[mine]))
+        out["texts"].append(squeeze(pack(at_symbol[mine], windows[mine] + width - 1)))
+        out["string"].append(pack_planes(np.cumsum(new[a:b]) - 1))
+        out["docs"].append(pack_planes(docs[a:b]))
+        out["starts"].append(pack_planes(starts[a:b]))
+        out["ids"].append(pack_planes(ids[a:b]))
+    return pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64() if n in ("bucket", "load") else pa.binary()) for n, v in out.items()})
+
+
 def _send_runs(view_of, k: int, width: int, buckets: int):
     def sent(batches):
+        load: list = []
         for batch in batches:
             for row in batch.to_pylist():
-                view = view_of(block := Block(row))
-                runs = Runs(view, k, width)
-                distinct, back = np.unique(runs.prints, return_inverse=True)
-                bits = [np.unpackbits(np.frombuffer(unsqueeze(a["answer"]), np.uint8))[: 2 * a["n"]].reshape(-1, 2) for a in sorted(row["answers"], key=lambda a: a["part"])]
-                answer = np.concatenate(bits)[back].astype(bool)
-                crowded, repeated = answer[:, 0], answer[:, 1]
-                for name in ("starts", "ends", "prints", "docs"):
-                    setattr(runs, name, getattr(runs, name)[repeated])
-                if crowded.any():
-                    runs.one_by_one(crowded[repeated], view)
-                if not len(runs.prints):
-                    continue
-                order = np.lexsort((runs.texts(view), runs.prints))
-                prints, text = runs.prints[order], runs.texts(view)[order]
-                starts, windows, docs = runs.starts[order], (runs.ends - runs.starts)[order], runs.docs[order]
-                new = np.concatenate([[True], (prints[1:] != prints[:-1]) | (text[1:] != text[:-1])])
-                at = _range_of(prints, buckets)
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]])
-                out: dict[str, list] = {n: [] for n in ("bucket", "block", "prints", "windows", "texts", "string", "docs", "starts", "ids")}
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    mine = np.flatnonzero(new[a:b]) + a
-                    out["bucket"].append(int(at[a]))
-                    out["block"].append(block.number)
-                    out["prints"].append(pack_sorted(prints[mine]))
-                    out["windows"].append(pack_planes(windows[mine]))
-                    out["texts"].append(squeeze(view.pack(starts[mine], windows[mine] + width - 1)))
-                    out["string"].append(pack_planes(np.cumsum(new[a:b]) - 1))
-                    out["docs"].append(pack_planes(docs[a:b]))
-                    out["starts"].append(pack_planes(starts[a:b] - view.offsets[docs[a:b]]))
-                    out["ids"].append(pack_planes(block.ids[docs[a:b]]))
-                yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64() if n in ("bucket", "block") else pa.binary()) for n, v in out.items()})
+                view, runs = _repeated_runs(view_of, k, width, row)
+                if len(runs.prints):
+                    load.append((view, runs))
+                if len(load) == LOAD:
+                    yield _send_load(load, width, buckets)
+                    load = []
+        if load:
+            yield _send_load(load, width, buckets)
 
     return sent
 
@@ -280,11 +320,21 @@ def _match_bucket(view_class, matcher: Matcher, width: int):
         order = np.lexsort((lo, docs[rows_of], owner[rows_of]))
         cuts = np.searchsorted(owner[rows_of][order], np.arange(n + 1))
         out = [[pack_planes(x[order[a:b]]) for x in (docs[rows_of], lo, hi - lo)] for a, b in zip(cuts, cuts[1:], strict=False)]
-        return pa.table({"block": rows["block"], "docs": pa.array([x[0] for x in out], pa.binary()), "starts": pa.array([x[1] for x in out], pa.binary()), "sizes": pa.array([x[2] for x in out], pa.binary())})
+        return pa.table({"load": rows["load"], "blocks": rows["blocks"], "docs": pa.array([x[0] for x in out], pa.binary()), "starts": pa.array([x[1] for x in out], pa.binary()), "sizes": pa.array([x[2] for x in out], pa.binary())})
 
     return found
 
 
+def _part_load(key: tuple, rows: pa.Table) -> pa.Table:
+    """What all buckets found in a load, as one row for each of its blocks."""
+    blocks = np.frombuffer(rows["blocks"][0].as_py(), np.int64)
+    docs, starts, sizes = (np.concatenate([unpack_planes(x, np.int64) for x in rows[n].to_pylist()]) for n in ("docs", "starts", "sizes"))
+    order = np.argsort(docs, kind="stable")
+    cuts = np.searchsorted(docs[order] >> 32, np.arange(len(blocks) + 1))
+    out = [[pack_planes(x[order[a:b]]) for x in (docs & 0xFFFFFFFF, starts, sizes)] for a, b in zip(cuts, cuts[1:], strict=False)]
+    return pa.table({"block": pa.array(blocks), **{n: pa.array(x, pa.binary()) for n, x in zip(("docs", "starts", "sizes"), zip(*out, strict=True), strict=True)}})
+
+
 def covered(view, found: list[dict], width: int) -> np.ndarray:
     """A mask of the symbols that lie in the found windows."""
     depth = np.zeros(len(view.symbols) + 1, np.int64)
@@ -306,17 +356,17 @@ def repeated_windows(docs: DataFrame, view_class, matcher: Matcher, finish, sche
         .groupBy("part").applyInArrow(_answer_prints(many), "block long, part long, answer binary, n long")
         .groupBy("block").agg(F.collect_list(F.struct("part", "answer", "n")).alias("answers"))
     )
-    runs = blocks.join(answers.hint("shuffle_hash"), "block").mapInArrow(_send_runs(view_class, k, width, buckets), "bucket long, block long, prints binary, windows binary, texts binary, string binary, docs binary, starts binary, ids binary")
+    runs = blocks.join(answers.hint("shuffle_hash"), "block").mapInArrow(_send_runs(view_class, k, width, buckets), "bucket long, load long, blocks binary, prints binary, windows binary, texts binary, string binary, docs binary, starts binary, ids binary")
     found = (
-        runs.groupBy("bucket").applyInArrow(_match_bucket(view_class, matcher, width), "block long, docs binary, starts binary, sizes binary")
-        .groupBy("block").agg(F.collect_list(F.struct("docs", "starts", "sizes")).alias("found"))
+        runs.groupBy("bucket").applyInArrow(_match_bucket(view_class, matcher, width), "load long, blocks binary, docs binary, starts binary, sizes binary")
+        .groupBy("load").applyInArrow(_part_load, "block long, docs binary, starts binary, sizes binary")
     )
 
     def finished(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 view = view_class(Block(row))
-                yield finish(view, covered(view, row["found"] or [], width))
+                yield finish(view, covered(view, [row] if row["docs"] is not None else [], width))
 
     return blocks.join(found.hint("shuffle_hash"), "block", "left").mapInArrow(finished, schema)
 

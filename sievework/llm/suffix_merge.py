@@ -1,13 +1,14 @@
 """Suffix-array dedup: exact repeated byte spans by merging shard Burrows-Wheeler transforms.
 
-Each shard of strings gets its own transform over pairs of symbols, from a sort
-of the shard's rotations. The merge starts from the shards one after the other
-and refines the interleave: each pass reads every shard's transform in its own
-order through the current interleave and deals the rows stably by the pair
-read, after which rows are in order of two further symbols. Suffixes of
+Each shard of strings gets its own transform over one to four symbols at once,
+from a sort of the shard's rotations. The merge starts from the shards one after
+the other and refines the interleave: each pass reads every shard's transform in
+its own order through the current interleave and deals the rows stably by the
+symbols read, after which rows are in order of that many further symbols: four
+or three in most texts, as many as 65,536 numbers tell apart. Suffixes of
 different shards are never compared or sorted again. Boundaries that the passes
-leave are where the common prefix of neighbouring rows ends, so after half the
-window's width a block of rows is one repeated window.
+leave are where the common prefix of neighbouring rows ends, so when the passes
+have read the window's width a block of rows is one repeated window.
 
 Null text counts as empty; texts shorter than a window keep all their bytes.
 Rows with one doc_id do not remove one another; a null doc_id counts as larger
@@ -26,6 +27,8 @@ from .blocks import NO_ID
 from .repeats import Bytes, repeated_windows
 
 SHARD_SYMBOLS = 1 << 18
+#: Symbols that a pass of the merge reads at most.
+LONGEST_READ = 4
 
 
 class Rotations:
@@ -68,41 +71,65 @@ class Rotations:
             n *= 2
 
 
-def merge(transforms: list[np.ndarray], passes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Refines the interleave of transforms; returns the shard of each merged row and the number of its block of equal prefixes."""
-    joined = np.concatenate(transforms)
-    shards = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
-    if len(transforms) <= 256:
-        shards = shards.astype(np.uint8)
-    block = np.zeros(len(joined), np.int32)
-    read = np.empty_like(joined)
-    for _ in range(passes):
-        read[np.argsort(shards, kind="stable")] = joined
+def ranked(codes: np.ndarray, base: int) -> tuple[np.ndarray, int]:
+    """Numbers codes below `base` from 0 without gaps, in their order; returns the numbers and how many there are."""
+    there = np.zeros(base, bool)
+    there[codes] = True
+    rank = np.cumsum(there, dtype=np.int32)
+    return (rank - 1)[codes], int(rank[-1])
+
+
+def reads(preceding: list[np.ndarray], most: int = 1 << 16) -> list[np.ndarray]:
+    """What the passes read: of the symbols 1, 2, 3 and 4 places before each row, the numbers of the last 1, 2, ... together, while `most` tell them apart."""
+    code, n = ranked(preceding[0], 256)
+    out = [code.astype(np.uint16)]
+    for symbol in preceding[1:]:
+        if n > most:
+            break
+        code, n = ranked(symbol.astype(np.int32) * n + code, 256 * n)
+        if n <= most:
+            out.append(code.astype(np.uint16))
+    return out
+
+
+def merge(joined: list[np.ndarray], sizes: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Refines the interleave of transforms of these sizes that lie one after the other; returns the shard of each merged row and the number of its block of equal prefixes.
+
+    The transform joined[d - 1] numbers the d symbols before each row; passes read the longest that there are.
+    """
+    shards = np.repeat(np.arange(len(sizes), dtype=np.uint8 if len(sizes) <= 256 else np.uint16), sizes)
+    block = np.zeros(len(shards), np.int32)
+    read = np.empty(len(shards), np.uint16)
+    done = 0
+    while done < width:
+        d = min(len(joined), width - done)
+        read[np.argsort(shards, kind="stable")] = joined[d - 1]
         order = np.argsort(read, kind="stable")
         shards, symbol, block = shards[order], read[order], block[order]
-        edge = np.zeros(len(order), np.int32)
+        edge = np.zeros(len(order), bool)
         edge[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
         block = np.cumsum(edge, dtype=np.int32)
+        done += d
     return shards, block
 
 
 def match_by_merge(symbols: np.ndarray, lengths: np.ndarray, least: np.ndarray, width: int, shard_symbols: int = SHARD_SYMBOLS) -> np.ndarray:
     """For each window of each string, string after string: is it in a string with a smaller `least`?
 
-    The symbols are bytes (0 to 254), the width is even.
+    The symbols are bytes (0 to 254).
     """
     shard = (np.cumsum(lengths) - lengths) // shard_symbols
     cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1), len(lengths)]
     ends = np.cumsum(lengths)
     wide = symbols.astype(np.int64) + 1
-    transforms, rows = [], []
+    preceding, rows = [], []
     for a, b in zip(cuts, cuts[1:], strict=False):
         some = Rotations(wide[ends[a] - lengths[a] : ends[b - 1]], lengths[a:b])
         order = some.order(width)
-        pair = some.symbols[some.ahead(-2)] * 256 + some.symbols[some.ahead(-1)]
-        transforms.append(pair[order].astype(np.uint16))
+        preceding.append([some.symbols[some.ahead(-d)[order]].astype(np.uint8) for d in range(1, min(LONGEST_READ, width) + 1)])
         rows.append((a + some.owner[order], (order - some.begins[some.owner[order]])))
-    shards, block = merge(transforms, width // 2)
+    joined = reads([np.concatenate(p) for p in zip(*preceding, strict=True)])
+    shards, block = merge(joined, [len(p[0]) for p in preceding], width)
     order = np.argsort(shards, kind="stable")
     string, place = np.empty(len(block), np.int64), np.empty(len(block), np.int64)
     string[order] = np.concatenate([r[0] for r in rows])
