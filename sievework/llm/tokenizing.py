@@ -2,6 +2,9 @@
 
 A byte-level or word-level BPE never joins bytes across the place before a
 space that a non-space follows, so a text's ids are its pieces' ids in a row.
+For the same reason new words are encoded many at once: those of a plain
+byte-level tokenizer as one text, in which the bytes of the tokens say where
+words end, others with a special token between them.
 """
 
 from __future__ import annotations
@@ -24,6 +27,14 @@ _CUT = re.compile(r"(?= (?=\S))")
 _MARK = "\x1f"
 
 
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each large string begins and the last ends, and all strings' bytes in a row."""
+    if not len(words):
+        return np.zeros(1, np.int64), np.empty(0, np.uint8)
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    return offsets - offsets[0], np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+
+
 class TextEncoder:
     """Encodes arrays of texts with the tokenizer in a file.
 
@@ -42,6 +53,9 @@ class TextEncoder:
         self.drops_space = '"Removed"' in json.dumps(spec["pre_tokenizer"])
         # A special token between words lets many be encoded as one text, which it parts before anything else.
         self.parting = next(((t["content"], t["id"]) for t in spec["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["normalized"])), None)
+        #: Bytes of each token, where every token stands for its own bytes of the text and for nothing else.
+        self.token_bytes = self._token_bytes(spec)
+        self.added_begin = sorted({t["content"][:2] for t in spec["added_tokens"]})
         self.kept, self.batch = kept, 0
         self.ids = np.empty(0, np.uint32)
         #: Of each known word, in order of the hash: hash, check, place in ids, number of ids, last batch that had it.
@@ -69,7 +83,56 @@ class TextEncoder:
                 chunks.append(parts.flatten())
         return pa.concat_arrays([c.cast(pa.large_string()) for c in chunks]), counts
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
+    def _token_bytes(self, spec: dict) -> np.ndarray | None:
+        model, before = spec["model"], spec["pre_tokenizer"] or {}
+        plain = model["type"] == "BPE" and not any(model.get(n) for n in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        if spec["normalizer"] or not plain or before.get("type") != "ByteLevel" or before["add_prefix_space"] or not before["use_regex"]:
+            return None
+        if any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec["added_tokens"]):
+            return None
+        sizes = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            sizes[i] = len(token)  # one character of the byte alphabet a byte
+        return sizes
+
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids in a row, and each word's number of ids."""
+        if self.token_bytes is None:
+            return self._encode_parted(words.to_pylist())
+        offsets, data = _bytes_of(words)
+        padded = np.append(data, np.zeros(2, np.uint8))
+        second = padded[offsets[:-1] + 1]
+        # In one text they are cut as alone only where a space and a non-space begin the next; bytes C2 and E1 to E3 begin Unicode's spaces.
+        alike = (np.diff(offsets) > 1) & (padded[offsets[:-1]] == 32) & (second > 32) & (second != 127) & (second != 0xC2) & ~((second > 0xE0) & (second < 0xE4))
+        for begin in self.added_begin:
+            alike &= ~pc.match_substring(words, begin).to_numpy(zero_copy_only=False)
+        at, rest = np.flatnonzero(alike), np.flatnonzero(~alike)
+        joined = self._encode_joined(words.take(pa.array(at)))
+        if joined is None:
+            return self._encode_parted(words.to_pylist())
+        others = self._encode_parted(words.take(pa.array(rest)).to_pylist())
+        sizes = np.concatenate([joined[1], others[1]])
+        order = np.argsort(np.concatenate([at, rest]), kind="stable")
+        return np.concatenate([joined[0], others[0]])[gather_ranges((np.cumsum(sizes) - sizes)[order], sizes[order])], sizes[order]
+
+    def _encode_joined(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
+        """Encodes words, 256 as one text; None if tokens don't end where words do."""
+        offsets, data = _bytes_of(words)
+        raw, cuts = data.tobytes(), [*offsets[:-1:256].tolist(), len(data)]
+        texts = [raw[a:b].decode() for a, b in zip(cuts, cuts[1:], strict=False)]
+        each = [np.array(e.ids, np.uint32) for lo in range(0, len(texts), 16) for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 16], add_special_tokens=False)]
+        ids = np.concatenate([np.empty(0, np.uint32), *each])
+        ends = np.cumsum(self.token_bytes[ids])
+        last = np.searchsorted(ends, offsets[1:])
+        if int(ends[-1] if len(ends) else 0) != len(data) or (ends[last] != offsets[1:]).any():
+            return None
+        return ids, np.diff(last + 1, prepend=0)
+
+    def _encode_parted(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        blobs = self._encode_blobs(words)
+        return np.frombuffer(b"".join(blobs), np.uint32), np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+
+    def _encode_blobs(self, words: list[str]) -> list[bytes]:
         one = lambda w: array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
         if not self.parting:
             return [one(w) for w in words]
@@ -97,9 +160,8 @@ class TextEncoder:
 
     def _look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where in `ids` each word's ids are, and how many; learns what is new."""
-        offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
-        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-        lo, hi = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+        offsets, data = _bytes_of(words)
+        lo, hi = offsets[:-1], offsets[1:]
         hashes = span_hashes(data, lo, hi)
         sums = np.concatenate([[0], np.cumsum(data, dtype=np.int64)])
         padded = np.append(data, 0).astype(np.int64)
@@ -112,10 +174,9 @@ class TextEncoder:
         self.table[4][at[hit]] = self.batch
         new = np.flatnonzero(~hit)
         if len(new):
-            blobs = self._encode_words(words.take(pa.array(new)).to_pylist())
-            sizes[new] = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+            ids, sizes[new] = self._encode_words(words.take(pa.array(new)))
             starts[new] = len(self.ids) + np.cumsum(sizes[new]) - sizes[new]
-            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(blobs), np.uint32)])
+            self.ids = np.concatenate([self.ids, ids])
             columns = [np.concatenate([old, more]) for old, more in zip(self.table, (hashes[new], checks[new], starts[new], sizes[new], np.full(len(new), self.batch)), strict=True)]
             order = np.argsort(columns[0], kind="stable")
             self.table = [c[order] for c in columns]
