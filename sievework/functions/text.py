@@ -39,7 +39,9 @@ def fold(text: Column) -> Column:
     plain = F.translate(F.lower(text), MARKED + "'’", PLAIN)  # what has no counterpart goes
     spread = F.create_map(*(F.lit(v) for pair in SPREAD.items() for v in pair))
     split = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(spread, c), c)), "")
-    return F.when(text.rlike(_RARE), F.regexp_replace(split, r"\p{Mn}+", "")).otherwise(plain)
+    # Most texts are told by their length, and of others only what is not ASCII goes through the long class of signs.
+    rare = (F.length(text) != F.octet_length(text)) & F.regexp_replace(text, r"[\x00-\x7f]+", "").rlike(_RARE)
+    return F.when(rare, F.regexp_replace(split, r"\p{Mn}+", "")).otherwise(plain)
 
 
 def normalise(text: Column) -> Column:

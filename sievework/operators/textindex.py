@@ -1,6 +1,6 @@
-"""A stored full-text index: folded, stemmed terms with their positions, in folders by a hash of the term.
+"""A stored full-text index: lists of the rows that hold a folded, stemmed term, with its positions there, in folders by a hash of the term.
 
-It is built once and searched many times: a search reads only its terms' folders
+Lists are made and stored for a load of texts at a time, so a task holds one load. It is built once and searched many times: a search reads only its terms' folders
 (partition pruning), and in them only the row groups that hold the terms, since
 files are sorted by term. A term of very many rows is dealt over several files.
 """
@@ -8,15 +8,20 @@ files are sorted by term. A term of very many rows is dealt over several files.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
 BUCKETS, SPREAD = 64, 4
-_POSTINGS = "array<struct<term:string,positions:array<int>>>"
+# Bytes of texts whose postings a task makes at once, and words whose stems it remembers.
+LOAD, KNOWN = 1 << 24, 200_000
 # The suffix rules of steps 2 to 4 of Porter's stemmer (Program, 1980).
 _STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
 _STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
@@ -85,28 +90,74 @@ def stem(word: str) -> str:
     return word[:-1] if word.endswith("ll") and _measure(word) > 1 else word
 
 
-def _postings(texts: pd.Series) -> pd.Series:
-    known: dict[str, str] = {}  # each distinct word of a batch is stemmed once
+def _loads(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of texts, none empty, of like bytes: `most` and one text at most."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    if len(ends):
+        n = -(-int(ends[-1]) // most)
+        cuts = np.unique(np.searchsorted(ends, ends[-1] * np.arange(1, n + 1) // n) + 1).tolist()
+        yield from zip([0, *cuts[:-1]], cuts)
+
+
+def _lists(most: int = LOAD):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str] = {}  # words are stemmed once
+        for batch in batches:
+            batch = batch.filter(pc.fill_null(pc.not_equal(batch.column("text"), ""), False))
+            for at, end in _loads(batch.column("text"), most):
+                ids, held = batch.column("id").slice(at, end - at), pc.split_pattern(batch.column("text").slice(at, end - at), " ")
+                sizes = held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                words = held.flatten().dictionary_encode()
+                if len(known) > KNOWN:
+                    known.clear()
+                stems = pa.array([known[w] if w in known else known.setdefault(w, stem(w)) for w in words.dictionary.to_pylist()], pa.string()).dictionary_encode()
+                place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                key = stems.indices.to_numpy().astype(np.int64)[words.indices.to_numpy()] * len(sizes) + np.repeat(np.arange(len(sizes)), sizes)
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                place = place[order]
+                begun = np.flatnonzero(np.diff(key, prepend=-1))  # a posting: a term in a text
+                gaps = np.diff(place, prepend=0)
+                gaps[begun] = place[begun]
+                term, row = np.divmod(key[begun], len(sizes))
+                group = np.flatnonzero(np.diff(term, prepend=-1))  # a list: a term in the load
+                cuts, ends = np.append(group, len(begun)), np.append(begun, len(key))
+                made = [stems.dictionary.take(pa.array(term[group])), _grouped(cuts, ids.take(pa.array(row))), _grouped(cuts, pa.array(np.diff(ends), pa.int32())), _grouped(ends[cuts], pa.array(gaps, pa.int32()))]
+                yield pa.RecordBatch.from_arrays(made, ["term", "ids", "sizes", "gaps"])
+
+    return of
+
+
+def _grouped(cuts: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values)
+
+
+def lists(rows: DataFrame, ident: str, fields: dict[str, Column]) -> DataFrame:
+    """(term, field, ids, sizes, gaps): in which rows the stems of each field's words stand, how often, and where; null and empty fields have none.
+
+    A list holds the rows of one load of texts. Its gaps are, row after row, the first place of the term and the steps to the next ones.
+    """
+    schema = f"term string, ids array<{rows.schema[ident].dataType.simpleString()}>, sizes array<int>, gaps array<int>"
+    made = [rows.select(F.col(ident).alias("id"), X.normalise(text).alias("text")).mapInArrow(_lists(), schema).select("term", F.lit(name).alias("field"), "ids", "sizes", "gaps") for name, text in fields.items()]
+    return reduce(DataFrame.unionByName, made)
 
-    def one(text: str | None) -> list:
-        held: dict[str, list[int]] = {}
-        for i, word in enumerate(text.split(" ") if text else ()):
-            if word not in known:
-                known[word] = stem(word)
-            held.setdefault(known[word], []).append(i)
-        return [{"term": t, "positions": p} for t, p in held.items()]
 
-    return pd.Series([one(t) for t in texts], dtype=object)
+def _spelled_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            one = batch.slice(i, 1)
+            ids, sizes, gaps = (one.column(c).flatten() for c in ("ids", "sizes", "gaps"))
+            ends, sums = np.cumsum(sizes.to_numpy(), dtype=np.int64), np.append(0, np.cumsum(gaps.to_numpy(), dtype=np.int64))
+            starts = np.append(0, ends)
+            positions = sums[1:] - np.repeat(sums[starts[:-1]], sizes.to_numpy())
+            same = [one.column(c).take(pa.array(np.zeros(len(ids), np.int64))) for c in ("bucket", "term", "field")]
+            yield pa.RecordBatch.from_arrays([*same, ids, _grouped(starts, pa.array(positions, pa.int32()))], ["bucket", "term", "field", "id", "positions"])
 
 
-def postings(rows: DataFrame, ident: str, fields: dict[str, Column]) -> DataFrame:
-    """(term, field, id, positions): where the stems of each field's words stand; null and empty fields have none."""
-    found = F.pandas_udf(_postings, _POSTINGS)
-    out = [rows.select(F.lit(name).alias("field"), F.col(ident).alias("id"), F.inline(found(X.normalise(text)))).select("term", "field", "id", "positions") for name, text in fields.items()]
-    whole = out[0]
-    for more in out[1:]:
-        whole = whole.unionByName(more)
-    return whole
+def postings(listed: DataFrame) -> DataFrame:
+    """(bucket, term, field, id, positions) of stored lists."""
+    kind = listed.schema["ids"].dataType.elementType.simpleString()
+    return listed.select("bucket", "term", "field", "ids", "sizes", "gaps").mapInArrow(_spelled_out, f"bucket int, term string, field string, id {kind}, positions array<int>")
 
 
 def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
@@ -115,16 +166,16 @@ def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
 
 def build(rows: DataFrame, ident: str, fields: dict[str, Column], path: str, buckets: int = BUCKETS) -> None:
     """Writes the index of the rows' fields under `path`, a folder a bucket."""
-    made = postings(rows, ident, fields).withColumn("bucket", bucket_of(F.col("term"), buckets))
-    dealt = made.repartition(buckets * SPREAD, "bucket", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
-    dealt.sortWithinPartitions("bucket", "term", "field", "id").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    made = lists(rows, ident, fields).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    dealt = made.repartition(buckets * SPREAD, "bucket", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(SPREAD)))
+    dealt.sortWithinPartitions("bucket", "term", "field").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
 
 
 def lookup(spark: SparkSession, path: str, words: list[str], fields: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
     """The postings of some stems, from their buckets alone."""
     stems = sorted({stem(w) for w in words})
     index = spark.read.parquet(path).where(F.col("bucket").isin(*(bucket_of(F.lit(s), buckets) for s in stems)) & F.col("term").isin(*stems))
-    return index.where(F.col("field").isin(*fields)) if fields else index
+    return postings(index.where(F.col("field").isin(*fields)) if fields else index)
 
 
 def match(spark: SparkSession, path: str, query: str, fields: list[str] | None = None, phrase: bool = False, buckets: int = BUCKETS) -> DataFrame:

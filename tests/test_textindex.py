@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +65,29 @@ def test_a_search_reads_only_the_buckets_of_its_terms(spark, index):
     buckets = {r[0] for r in T.lookup(spark, index, ["duck", "plum"], buckets=8).select("bucket").distinct().collect()}
     want = {spark.range(1).select(T.bucket_of(F.lit(w), 8)).first()[0] for w in ("duck", "plum")}
     assert buckets == want
+
+
+def test_a_task_holds_the_postings_of_one_load(spark):
+    rng = random.Random(5)
+    texts = [rng.choice([None, "", " ".join(rng.choices(["duck", "ducks", "plum", "with"], k=rng.randint(1, 60)))]) for _ in range(400)]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([i if i % 50 else None for i in range(400)], pa.int32()), "text": pa.array(texts)})
+    loads, got = list(T._lists(most=2000)(iter([batch]))), []
+    for load in loads:
+        held = {i for ids in load["ids"].to_pylist() for i in ids if i is not None}
+        assert sum(len(texts[i]) for i in held) <= 2000 + max(len(t or "") for t in texts)
+        for term, ids, sizes, gaps in zip(*(load[c].to_pylist() for c in ("term", "ids", "sizes", "gaps"))):
+            for i, n in zip(ids, sizes):
+                places = [sum(gaps[: k + 1]) for k in range(n)]
+                gaps = gaps[n:]
+                got += [(term, i, p) for p in places]
+    assert len(loads) > 3
+    want = [(T.stem(w), i if i % 50 else None, p) for i, t in enumerate(texts) for p, w in enumerate((t or "").split())]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert list(T._lists()(iter([batch.slice(0, 0)]))) == []
+
+
+def test_stored_rows_are_lists_and_searches_spell_them_out(spark, rows, index):
+    assert spark.read.parquet(index).where("term = 'duck'").count() < sum("duck" in _stems(title) for _, title, _ in rows)
+    found = {(r.field, r.id): r.positions for r in T.lookup(spark, index, ["duck"], buckets=8).collect()}
+    want = {(f, i): [p for p, w in enumerate(_stems(x)) if w == "duck"] for i, title, note in rows for f, x in (("title", title), ("note", note)) if "duck" in _stems(x)}
+    assert found == want
