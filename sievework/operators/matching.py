@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +75,63 @@ def best_swap(lacking: DataFrame, swaps: DataFrame, have: DataFrame, least: int
     )
 
 
+def _first_in(ranks: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The smallest of ranks[lo:hi] for each pair, lo < hi, from minima over 1, 2, 4, ... neighbours."""
+    out, width, low = np.empty(len(lo), ranks.dtype), 1, ranks
+    level = np.log2(hi - lo).astype(int)
+    for k in range(level.max(initial=-1) + 1):
+        here = level == k
+        out[here] = np.minimum(low[lo[here]], low[hi[here] - width])
+        low, width = np.minimum(low[:-width], low[width:]), 2 * width
+    return out
+
+
+def _nearby(by: list[str], steps: tuple[tuple[float, int], ...]):
+    def best(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
+        held = held.sort_by("value")
+        values, a = held["value"].to_numpy(), asked["value"].to_numpy()
+        ranks, places = pc.rank(held["swap"]).to_numpy().astype(np.int64) - 1, pc.sort_indices(held["swap"])
+        found, quality = np.full(len(a), -1), np.zeros(len(a), np.int32)
+        for gap, q in steps:
+            # Differences fall and rise with the value, so what is near enough stands together; bounds are moved until the differences themselves say so.
+            lo, hi = np.searchsorted(values, a - gap), np.searchsorted(values, a + gap)
+            ends = np.concatenate(([-np.inf], values, [np.inf]))  # values[i] is ends[i + 1]
+            while (back := a - ends[lo] < gap).any():
+                lo = lo - back
+            while (on := a - ends[lo + 1] >= gap).any():
+                lo = lo + on
+            while (on := ends[hi + 1] - a < gap).any():
+                hi = hi + on
+            while (back := ends[hi] - a >= gap).any():
+                hi = hi - back
+            new = (quality == 0) & (lo < hi)
+            found[new], quality[new] = _first_in(ranks, lo[new], hi[new]), q
+        met = pa.array(quality > 0)
+        columns = {c: asked[c].filter(met) for c in (*by, "value")}
+        return pa.table(columns | {"swap": held["swap"].take(places).take(pa.array(found[quality > 0])), "quality": pa.array(quality[quality > 0])})
+
+    return best
+
+
+def best_nearby(lacking: DataFrame, at_hand: DataFrame, by: list[str], steps: tuple[tuple[float, int], ...]) -> DataFrame:
+    """(slug, swap, quality) from (slug, by, value) of both: for each lacking slug the best of those at hand that equal it in `by`, as best_swap finds it.
+
+    steps: (gap, quality), narrow ones first: the quality of a swap whose value differs by less than `gap`. No lacking slug is at hand. Slugs of like value
+    are not paired: of those at hand at one value the smallest counts, values in reach are a stretch of the sorted ones, and the smallest slug of a stretch
+    comes from minima over it. Rows that stand together are the different values of one `by` in a bin twice as wide as the widest gap and beside it.
+    Nulls, and values that are not finite, stand in for nothing.
+    """
+    wide = 2 * max(gap for gap, _ in steps)
+    finite = (F.abs("value") < float("inf")) & reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in (*by, "slug")))
+    asked, bin_ = lacking.where(finite), F.floor(F.col("value") / wide)
+    places = asked.select(*by, "value").distinct().withColumn("bin", bin_)
+    held = at_hand.where(finite).groupBy(*by, "value").agg(F.min("slug").alias("swap")).withColumn("bin", F.explode(F.array(bin_ - 1, bin_, bin_ + 1)))
+    kinds = {c: asked.schema[c].dataType.simpleString() for c in by} | {"value": "double", "swap": at_hand.schema["slug"].dataType.simpleString(), "quality": "int"}
+    best = places.groupBy(*by, "bin").cogroup(held.groupBy(*by, "bin")).applyInArrow(_nearby(by, steps), ", ".join(f"`{c}` {kind}" for c, kind in kinds.items()))
+    met = asked.join(best, [*by, "value"])
+    return met.groupBy("slug").agg(F.min_by(F.struct("swap", "quality"), F.struct(-F.col("quality"), "swap")).alias("best")).select("slug", "best.swap", "best.quality")
+
+
 def jaccard(a: Column, b: Column, empty: float) -> Column:
     """Of two arrays of distinct values; `empty` is the value for two empty ones."""
     union = F.size(F.array_union(a, b))

@@ -9,7 +9,7 @@ from sievework.functions import text as X
 from sievework.functions.lines import parse
 from sievework.operators import hierarchy, routing, sampling, scoring, units
 from sievework.operators.clustering import leader_clusters
-from sievework.operators.matching import coverage, jaccard, outside_kitchen
+from sievework.operators.matching import best_nearby, coverage, jaccard, outside_kitchen
 from sievework.operators.selection import guarded_selection
 from sievework.plans.curation import QUERIES, _titled
 from sievework.plans.tables import Tables
@@ -50,6 +50,29 @@ def test_jaccard_of_empty_sets_is_a_parameter(spark):
     assert (r.x, r.y, round(r.z, 4)) == (1.0, 0.0, 0.3333)
 
 
+def test_best_nearby_matches_all_pairs(spark):
+    rng = random.Random(6)
+    values = [None, float("nan"), float("inf"), -0.0, 0.1 + 0.2, 1e300, *(900 + i / 10 for i in range(420)), *(1e-3 * i for i in range(20)), *(-i / 10 for i in range(300))]
+    made = lambda slugs: [(i, rng.choice(["x", "y", None]), rng.choice(values)) for i in slugs]
+    lacking, at_hand = made([*range(0, 900, 2), 4, 4, None]), made([*range(1, 500, 2), 7, 7, None])
+    want = {}
+    for i, g, v in lacking:
+        near = [(next(q for gap, q in ((10, 3), (20, 2)) if abs(v - w) < gap), j) for j, h, w in at_hand if None not in (i, j, g, v, w) and g == h and abs(v - w) < 20]
+        if near:
+            q, j = min(near, key=lambda x: (-x[0], x[1]))
+            want[i] = min(want.get(i, (j, q)), (j, q), key=lambda x: (-x[1], x[0]))
+    frame = lambda rows: spark.createDataFrame(rows, "slug long, g string, value double").repartition(3)
+    got = best_nearby(frame(lacking), frame(at_hand), ["g"], ((10, 3), (20, 2))).collect()
+    assert {r.slug: (r.swap, r.quality) for r in got} == want and len(got) == len(want) > 200
+    assert best_nearby(frame(lacking), frame([]), ["g"], ((10, 3),)).count() == 0
+
+
+def test_best_nearby_makes_no_pairs(spark):
+    rows = lambda odd: spark.range(400_000).where(f"id % 2 = {odd}").select(F.col("id").alias("slug"), F.lit("x").alias("g"), (F.col("id") % 1000 / 10).alias("value"))
+    got = best_nearby(rows(0), rows(1), ["g"], ((10, 3), (20, 2)))  # 15 billion pairs are near enough
+    assert got.agg(F.count("*"), F.min("swap"), F.max("quality")).first()[:] == (200_000, 1, 3)
+
+
 def test_leader_clusters_match_brute_force(spark):
     rng = random.Random(4)
     rows = [(i, rng.choice(["", "a", "b"]), float(rng.randint(0, 5)), sorted(set(rng.choices("pqrstu", k=rng.randint(0, 5))))) for i in range(80)]
