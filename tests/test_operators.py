@@ -2,13 +2,16 @@
 
 import json
 import random
+import time
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions import text as X
 from sievework.functions.lines import parse
 from sievework.operators import hierarchy, routing, sampling, scoring, units
-from sievework.operators.clustering import leader_clusters
+from sievework.operators.clustering import _lead, leader_clusters
 from sievework.operators.matching import best_nearby, coverage, jaccard, outside_kitchen
 from sievework.operators.selection import guarded_selection
 from sievework.plans.curation import QUERIES, _titled
@@ -93,6 +96,31 @@ def test_leader_clusters_match_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize(("share", "size", "words"), [(0.8, 9, 12), (0.5, 30, 60), (0.8, 60, 64), (1.0, 3, 5), (0.05, 4, 40)])
+def test_leaders_of_a_title_match_comparing_with_every_leader(share, size, words):
+    rng = random.Random(size)
+    rows = [(i, float(rng.randint(0, 9)), [None if w == 0 else f"w{w}" for w in rng.sample(range(words), rng.randint(0, size))]) for i in range(400)]
+    rows += [(1000, 5.0, None), (1001, 5.0, ["w1", "w1", "w2"])]
+    table = pa.table({"id": pa.array([r[0] for r in rows], pa.int64()), "score": [r[1] for r in rows], "members": pa.array([r[2] for r in rows], pa.list_(pa.string()))})
+    leaders, want = [], {}
+    for i, _, members in sorted(rows, key=lambda r: (-r[1], r[0])):
+        s = frozenset(members or ())
+        want[i] = next((j for j, t in leaders if min(len(s), len(t)) >= share * max(len(s), len(t)) and len(s & t) >= share * len(s | t)), i)
+        if want[i] == i:
+            leaders.append((i, s))
+    got = _lead(share)((), table)
+    assert dict(zip(got["id"].to_pylist(), got["leader"].to_pylist())) == want
+
+
+def test_many_leaders_of_one_title_are_not_all_compared():
+    rng = random.Random(3)
+    members = [[f"w{w}" for w in rng.sample(range(20_000), 40)] for _ in range(20_000)]
+    table = pa.table({"id": pa.array(range(20_000), pa.int64()), "score": [0.0] * 20_000, "members": members})
+    began = time.process_time()
+    assert len(set(_lead(0.8)((), table)["leader"].to_pylist())) == 20_000
+    assert time.process_time() - began < 60  # 200 million pairs take several times that
+
+
 def test_leader_clusters_over_the_documents(spark):
     docs = _titled(Tables(spark, FOLDER)).collect()
     assert QUERIES["dedupe_normalised_title"](spark, FOLDER).count() == len(docs)
