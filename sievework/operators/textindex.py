@@ -132,13 +132,13 @@ def _grouped(cuts: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values)
 
 
-def lists(rows: DataFrame, ident: str, fields: dict[str, Column]) -> DataFrame:
+def lists(rows: DataFrame, ident: str, fields: dict[str, Column], most: int = LOAD) -> DataFrame:
     """(term, field, ids, sizes, gaps): in which rows the stems of each field's words stand, how often, and where; null and empty fields have none.
 
     A list holds the rows of one load of texts. Its gaps are, row after row, the first place of the term and the steps to the next ones.
     """
     schema = f"term string, ids array<{rows.schema[ident].dataType.simpleString()}>, sizes array<int>, gaps array<int>"
-    made = [rows.select(F.col(ident).alias("id"), X.normalise(text).alias("text")).mapInArrow(_lists(), schema).select("term", F.lit(name).alias("field"), "ids", "sizes", "gaps") for name, text in fields.items()]
+    made = [rows.select(F.col(ident).alias("id"), X.normalise(text).alias("text")).mapInArrow(_lists(most), schema).select("term", F.lit(name).alias("field"), "ids", "sizes", "gaps") for name, text in fields.items()]
     return reduce(DataFrame.unionByName, made)
 
 
@@ -164,9 +164,9 @@ def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def build(rows: DataFrame, ident: str, fields: dict[str, Column], path: str, buckets: int = BUCKETS) -> None:
-    """Writes the index of the rows' fields under `path`, a folder a bucket."""
-    made = lists(rows, ident, fields).withColumn("bucket", bucket_of(F.col("term"), buckets))
+def build(rows: DataFrame, ident: str, fields: dict[str, Column], path: str, buckets: int = BUCKETS, most: int = LOAD) -> None:
+    """Writes the index of the rows' fields under `path`, a folder a bucket, from loads of `most` bytes of text."""
+    made = lists(rows, ident, fields, most).withColumn("bucket", bucket_of(F.col("term"), buckets))
     dealt = made.repartition(buckets * SPREAD, "bucket", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(SPREAD)))
     dealt.sortWithinPartitions("bucket", "term", "field").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
 

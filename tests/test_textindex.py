@@ -91,3 +91,14 @@ def test_stored_rows_are_lists_and_searches_spell_them_out(spark, rows, index):
     found = {(r.field, r.id): r.positions for r in T.lookup(spark, index, ["duck"], buckets=8).collect()}
     want = {(f, i): [p for p, w in enumerate(_stems(x)) if w == "duck"] for i, title, note in rows for f, x in (("title", title), ("note", note)) if "duck" in _stems(x)}
     assert found == want
+
+
+@pytest.mark.parametrize("query", ["duck duck", "duck with plum sauce"])
+def test_phrases_in_an_index_of_many_loads(spark, rows, tmp_path, query):
+    path = str(tmp_path / "i")
+    T.build(spark.createDataFrame(rows, "id int, title string, note string").coalesce(1), "id", {"title": F.col("title"), "note": F.col("note")}, path, buckets=4, most=300)
+    assert spark.read.parquet(path).where("term = 'duck' and field = 'title'").count() > 5
+    stems = [T.stem(w) for w in query.split()]
+    hits = lambda held: sum(held[i : i + len(stems)] == stems for i in range(len(held)))
+    want = {i: n for i, title, note in rows if (n := hits(_stems(title)) + hits(_stems(note)))}
+    assert {r.id: r.hits for r in T.match(spark, path, query, phrase=True, buckets=4).collect()} == want
